@@ -50,6 +50,33 @@ def year_month(col) -> Column:
     return F.date_format(_c(col), "yyyy-MM")
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def utc_wallclock(instant) -> Column:
+    """Zoned ``timestamp`` instant -> its UTC wall clock as ``timestamp_ntz`` (any session zone)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(instant)), _epoch())
+
+
+def as_utc_instant(wallclock) -> Column:
+    """``timestamp_ntz`` wall clock -> the zoned instant with that UTC wall clock.
+
+    Event-time windows and watermarks need a zoned timestamp; going through UTC
+    keeps 1-day windows aligned with calendar days whatever the session zone."""
+    w = _c(wallclock)
+    days = F.datediff(F.to_date(w), F.lit("1970-01-01").cast("date")).cast("bigint")
+    tod = (F.hour(w) * 3600 + F.minute(w) * 60).cast("bigint") * 1_000_000 + (
+        F.extract(F.lit("SECOND"), w) * 1_000_000
+    ).cast("bigint")
+    return F.timestamp_micros(days * 86_400_000_000 + tod)
+
+
 def to_event_time(epoch_millis) -> Column:
     """Epoch milliseconds -> wall-clock ``timestamp_ntz`` in UTC."""
-    return F.to_utc_timestamp(F.timestamp_millis(_c(epoch_millis)), F.current_timezone()).cast("timestamp_ntz")
+    return utc_wallclock(F.timestamp_millis(_c(epoch_millis)))
+
+
+def epoch_millis(wallclock) -> Column:
+    """UTC wall clock -> epoch milliseconds."""
+    return F.unix_millis(as_utc_instant(wallclock))

@@ -1 +1,198 @@
-"""Registered queries for curve fitting, clustering, ingestion and streaming."""
+"""Registered queries for curve fitting (A10-A15), clustering (A47-A51),
+ingestion (A54/T01, T02) and streaming (T03, T04).
+
+Fits and clusterings are non-SQL: no oracle (the driver checks rows only).
+Ingestion and streaming have oracles: their results are plain relations of
+the ``events`` table.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from fanlens.operators import curvefit, ingest, segments
+from fanlens.operators import selection as S
+from fanlens.plans import oracle
+from fanlens.plans.model import model_for
+from fanlens.plans.registry import register, register_raw
+from fanlens.session import shared_path
+from fanlens.sources import sinks
+from fanlens.sources.interactions import FIXTURES, table
+from fanlens.streaming.append import stream_append
+from fanlens.streaming.daily import read_daily_type, run_daily_type
+
+
+# --- A10-A15 ----------------------------------------------------------------------
+def _fit(m):
+    cache = m.__dict__.setdefault("_fit_cache", {})
+    if "fit" not in cache:
+        cache["fit"] = m._keep(curvefit.r_squared(m.growth_sequence, curvefit.logistic_fit(m.growth_sequence, m.p)))
+    return cache["fit"]
+
+
+@register("a10_logistic_fit", None)
+def a10(m):
+    return curvefit.logistic_fit(m.growth_sequence, m.p)
+
+
+@register("a11_r_squared", None)
+def a11(m):
+    return _fit(m)
+
+
+@register("a12_logistic_curve", None)
+def a12(m):
+    return curvefit.logistic_curve(m.growth_sequence, _fit(m), m.p.curve_points)
+
+
+@register("a13_fit_quality", None)
+def a13(m):
+    return curvefit.fit_quality(m.growth_sequence, _fit(m))
+
+
+@register("a14_headroom", None)
+def a14(m):
+    return curvefit.headroom(m.growth_sequence, _fit(m))
+
+
+@register("a15_export_params", None)
+def a15(m):
+    return sinks.export_csv(_fit(m), shared_path(m.spark, "exports", "scurve_params", unique=True))
+
+
+# --- A47-A51 ----------------------------------------------------------------------
+def _segments(m):
+    cache = m.__dict__.setdefault("_seg_cache", {})
+    if "seg" not in cache:
+        ev = S.top_active_users(S.cluster_events(m.ia), m.p.cluster_max_users)
+        vec, idx, n_cols = segments.incidence_vectors(ev)
+        vec = m._keep(vec)
+        n_rows = vec.count()
+        if n_rows < 2 or n_cols < 2:
+            raise ValueError("clustering needs at least a 2 x 2 incidence matrix")
+        seg = m._keep(segments.kmeans_segments(vec, m.p.cluster_k, m.p.cluster_seed))
+        cache.update(ev=ev, vec=vec, idx=idx, seg=seg)
+    return cache
+
+
+_cte_inc = """
+SELECT t.uid, t.entity, i.idx FROM (SELECT DISTINCT uid, entity FROM ev WHERE entity <> -3 AND uid IN (SELECT uid FROM top_users)) t
+JOIN (SELECT entity, CAST(row_number() OVER (ORDER BY entity) - 1 AS INTEGER) AS idx
+      FROM (SELECT DISTINCT entity FROM ev WHERE entity <> -3 AND uid IN (SELECT uid FROM top_users)) d) i
+  ON i.entity = t.entity
+"""
+
+
+@register("a47_incidence_matrix", _cte_inc)
+def a47(m):
+    c = _segments(m)
+    return c["ev"].select("uid", "entity").distinct().join(F.broadcast(c["idx"]), "entity").select("uid", "entity", "idx")
+
+
+@register("a48_kmeans_segments", None)
+def a48(m):
+    return _segments(m)["seg"].select("uid", "cluster")
+
+
+@register("a49_pca_2d", None)
+def a49(m):
+    return segments.pca_2d(_segments(m)["vec"])
+
+
+@register("a50_cluster_profile", None)
+def a50(m):
+    c = _segments(m)
+    return segments.cluster_profile(c["seg"], c["idx"])
+
+
+@register("a51_cluster_diversity", None)
+def a51(m):
+    return segments.cluster_diversity(_segments(m)["seg"])
+
+
+# --- A54 / T01-T04 ----------------------------------------------------------------
+SPLIT_TS = "2024-01-16 00:00:00"
+
+_F3_LOG = f"SELECT uid, entity, ts FROM ev WHERE ts < TIMESTAMP '{SPLIT_TS}'"
+_F3_FEED = "SELECT uid, entity, epoch_ms(epoch_us(MAX(ts)) // 1000) AS ts FROM ev GROUP BY uid, entity"
+
+
+def _log_and_batch(spark, sf_dir):
+    ia = FIXTURES["f3"](spark, sf_dir)
+    return ia.filter(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")), ia
+
+
+@register_raw(
+    "a54_incremental_append",
+    oracle.sql(
+        f"""{_F3_LOG}
+UNION ALL
+SELECT b.uid, b.entity, b.ts FROM ev b
+WHERE NOT EXISTS (SELECT 1 FROM ev o WHERE o.ts < TIMESTAMP '{SPLIT_TS}' AND o.uid = b.uid AND o.ts = b.ts AND o.entity = b.entity)""",
+        "f3",
+    ),
+)
+def a54(spark, sf_dir):
+    """Initial log = events before the split; the pull returns every event again."""
+    log, batch = _log_and_batch(spark, sf_dir)
+    path = shared_path(spark, "logs", "interactions", unique=True)
+    ingest.incremental_append(spark, path, log)
+    ingest.incremental_append(spark, path, batch)
+    return ingest.read_log(spark, path)
+
+
+@register_raw("t02_land_feed", oracle.sql(_F3_FEED, "f3"))
+def t02(spark, sf_dir):
+    landing = shared_path(spark, "landing", "feed", unique=True)
+    ingest.render_feed(FIXTURES["f3"](spark, sf_dir)).write.mode("overwrite").json(landing)
+    return ingest.parse_feed(spark.read.schema(ingest.FEED_SCHEMA).json(landing))
+
+
+@register_raw(
+    "t03_stream_append",
+    oracle.sql(
+        f"""{_F3_LOG}
+UNION ALL
+SELECT f.uid, f.entity, f.ts FROM (SELECT DISTINCT * FROM ({_F3_FEED}) x) f
+WHERE NOT EXISTS (SELECT 1 FROM ev o WHERE o.ts < TIMESTAMP '{SPLIT_TS}' AND o.uid = f.uid AND o.ts = f.ts AND o.entity = f.entity)""",
+        "f3",
+    ),
+)
+def t03(spark, sf_dir):
+    log, full = _log_and_batch(spark, sf_dir)
+    base = shared_path(spark, "streams", "append", unique=True)
+    landing, log_path, ckpt = (os.path.join(base, p) for p in ("landing", "log", "_checkpoint"))
+    ingest.incremental_append(spark, log_path, log)
+    ingest.render_feed(full).write.mode("overwrite").json(landing)
+    stream_append(spark, landing, log_path, ckpt)
+    return ingest.read_log(spark, log_path)
+
+
+@register_raw("t04_stream_daily_type", oracle.sql("SELECT * FROM dtype", "f3"))
+def t04(spark, sf_dir):
+    src = os.path.join(sf_dir, "events.parquet")
+    schema = spark.read.parquet(src).schema
+    stream = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+    rows = stream.select(
+        F.col("user_id").cast("bigint").alias("uid"),
+        F.create_map(*[x for k, v in sorted(_EVENT_TYPES.items()) for x in (F.lit(k), F.lit(v))])[F.col("event_type")]
+        .cast("bigint")
+        .alias("entity"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+    )
+    base = shared_path(spark, "streams", "daily_type", unique=True)
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "_checkpoint")
+    run_daily_type(spark, rows, out, ckpt)
+    return read_daily_type(spark, out)
+
+
+from fanlens.sources.interactions import EVENT_TYPE_ENTITY as _EVENT_TYPES  # noqa: E402
+
+_ = (model_for, table)
