@@ -8,6 +8,12 @@ map-side partial aggregation before any shuffle:
 * ``pair_months`` (uid, entity, month): ≤ one row per pair and month
 * ``pairs``       (uid, entity): one row per pair
 
+``pair_days`` is re-partitioned by ``uid`` right after the partial + final
+aggregation (a hot user is already collapsed to ≤ entities × days rows there),
+so every later uid-keyed step — the per-pair and per-month roll-ups, the
+label aggregation per user, the flow timelines, the joins with user labels —
+reuses that partitioning instead of shuffling again.
+
 ``pair_days`` keeps ``n0`` (events exactly at midnight) next to ``n`` so that a
 closed window ``[a, b]`` whose ends are midnights is still exact at day grain:
 it holds all events of days ``a .. b-1`` plus the midnight events of day ``b``.
@@ -26,14 +32,15 @@ def with_month(ia: DataFrame) -> DataFrame:
     return ia.select("uid", "entity", "ts", month_start("ts").alias("month"))
 
 
-def pair_days(ia: DataFrame) -> DataFrame:
+def pair_days(ia: DataFrame, by_user: bool = True) -> DataFrame:
     day = day_start("ts")
-    return ia.groupBy("uid", "entity", day.alias("day")).agg(
+    out = ia.groupBy("uid", "entity", day.alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("ts") == day).alias("n0"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
+    return out.repartition("uid") if by_user else out
 
 
 def pair_months(pd_: DataFrame) -> DataFrame:

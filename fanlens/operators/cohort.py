@@ -18,11 +18,12 @@ from fanlens.functions.time import add_months, month_diff
 from fanlens.params import FIXED, FUNNEL_STAGES
 
 
-def cohort_retention(ft: DataFrame, aug: DataFrame, pm: DataFrame, min_age: int | None = None) -> DataFrame:
+def cohort_retention(ft: DataFrame, labels: DataFrame, pm: DataFrame, min_age: int | None = None) -> DataFrame:
     """Distinct users of each FIXED first-touch cohort active per month offset.
 
-    A user enters a cohort once per cohort month (dedup before the join on uid)."""
-    fixed = aug.filter(F.col("label") == FIXED).select("uid", "entity")
+    ``labels`` is D06 or D08 (only the FIXED rows are used).  A user enters a
+    cohort once per cohort month (dedup before the join on uid)."""
+    fixed = labels.filter(F.col("label") == FIXED).select("uid", "entity")
     cohort = ft.join(fixed, ["uid", "entity"]).select(F.col("month").alias("cohort_month"), "uid").distinct()
     activity = pm.select("month", "uid").distinct()
     joined = cohort.join(activity, "uid").select("cohort_month", month_diff("cohort_month", "month").alias("month_age"))
@@ -43,10 +44,10 @@ def _stage(df: DataFrame, base: DataFrame, idx: int) -> DataFrame:
     )
 
 
-def cohort_layer_funnel(ft: DataFrame, aug: DataFrame) -> DataFrame:
+def cohort_layer_funnel(ft: DataFrame, labels: DataFrame) -> DataFrame:
     """D36 (literal): new / month1_fixed / month2_fixed per (entity, cohort_month)."""
     new = ft.select("entity", F.col("month").alias("cohort_month"), "uid")
-    fixed_users = aug.filter(F.col("label") == FIXED).select("uid").distinct()
+    fixed_users = labels.filter(F.col("label") == FIXED).select("uid").distinct()
     base = new.groupBy("entity", "cohort_month").agg(F.countDistinct("uid").alias("users"))
     out = base.select(
         "entity", "cohort_month", F.lit(FUNNEL_STAGES[0]).alias("stage"), F.lit(1).alias("stage_ord"),
@@ -61,10 +62,10 @@ def cohort_layer_funnel(ft: DataFrame, aug: DataFrame) -> DataFrame:
     return out
 
 
-def cohort_layer_funnel_v2(ft: DataFrame, aug: DataFrame, pm: DataFrame) -> DataFrame:
+def cohort_layer_funnel_v2(ft: DataFrame, labels: DataFrame, pm: DataFrame) -> DataFrame:
     """D36 intent: the pair is FIXED and still active on that entity k months later."""
     new = ft.select("entity", F.col("month").alias("cohort_month"), "uid")
-    fixed_pairs = aug.filter(F.col("label") == FIXED).select("uid", "entity")
+    fixed_pairs = labels.filter(F.col("label") == FIXED).select("uid", "entity")
     base = new.groupBy("entity", "cohort_month").agg(F.countDistinct("uid").alias("users"))
     out = base.select(
         "entity", "cohort_month", F.lit(FUNNEL_STAGES[0]).alias("stage"), F.lit(1).alias("stage_ord"),

@@ -5,14 +5,21 @@ For a first touch of entity E in month M by user U:
 * source = the entity U had most events with strictly before M (ties -> the
   smallest id), -3 when there is none.  E itself has no event before its own
   first-touch month, so "other than E" holds automatically and the answer only
-  depends on (U, M).
+  depends on (U, M).  Because every entity's running count only grows, the
+  leader before M is the running maximum of (count so far, -entity) over U's
+  monthly timeline — two window passes over ``pair_months`` partitioned by
+  user, no join and no per-(U, M) fan-out.
 * target = the entity other than E that U had most events with from M + 1 month
   on (ties -> the smallest id), -3 when there is none.  The answer depends on
   (U, M) through the top-2 list: the first unless it is E, else the second.
 
-Both are computed per (U, distinct first-touch month) from ``pair_months``, so
-the join on U is bounded by (#months × #entities) rows per user however many
-raw events that user has.
+The target uses the mirrored running maximum over the *remaining* events
+(suffix counts, scanned from the latest month back).  Only when that leader is
+E itself is the runner-up needed; for those first touches alone (a few percent
+on the test data) U's distinct cells after M + 1 month are joined and ranked.
+That join is bounded by (#months × #entities) rows per user however many raw
+events the user has, and with ``pair_months`` partitioned by user it runs
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,52 +31,69 @@ from fanlens.functions.time import add_months
 from fanlens.params import ROAMING
 
 
-def _touch_months(ft: DataFrame) -> DataFrame:
-    return ft.select("uid", F.col("month").alias("at")).distinct()
+def _month_index(c):
+    return F.year(c) * 12 + F.month(c)
 
 
-def _counts(ft: DataFrame, pm: DataFrame, keep) -> DataFrame:
-    cells = pm.select("uid", "entity", "month", "n")
+def _timeline(ft: DataFrame, pm: DataFrame, forward: bool) -> DataFrame:
+    """Marks (one per first touch) with the leading entity key before M (forward)
+    or from M + 1 month on (backward)."""
+    order = F.col("month") if forward else F.col("month").desc()
+    running = F.sum("n").over(
+        Window.partitionBy("uid", "entity").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    cells = pm.select(
+        "uid",
+        _month_index(F.col("month")).alias("mi"),
+        F.struct(running.cast("bigint").alias("c"), (-F.col("entity")).alias("ne")).alias("key"),
+        F.lit(None).cast("bigint").alias("x"),
+        F.lit(None).cast("timestamp_ntz").alias("month"),
+    )
+    marks = ft.select(
+        "uid",
+        _month_index(F.col("month")).alias("mi"),
+        F.lit(None).cast("struct<c:bigint,ne:bigint>").alias("key"),
+        F.col("entity").alias("x"),
+        "month",
+    )
+    mi = F.col("mi") if forward else F.col("mi").desc()
+    leader = F.max("key").over(Window.partitionBy("uid").orderBy(mi).rangeBetween(Window.unboundedPreceding, -1))
     return (
-        _touch_months(ft)
-        .join(cells, "uid")
-        .filter(keep(F.col("month"), F.col("at")))
-        .groupBy("uid", "at", "entity")
-        .agg(F.sum("n").alias("cnt"))
+        cells.unionByName(marks)
+        .withColumn("leader", leader)
+        .filter(F.col("x").isNotNull())
+        .select("uid", "x", "month", (-F.col("leader.ne")).alias("leader"))
     )
 
 
 def flow_source(ft: DataFrame, pm: DataFrame) -> DataFrame:
     """(uid, target, month, source)."""
-    before = _counts(ft, pm, lambda month, at: month < at)
-    best = before.groupBy("uid", "at").agg(
-        F.max_by("entity", F.struct(F.col("cnt"), -F.col("entity"))).alias("source")
-    )
-    return ft.join(best.withColumnRenamed("at", "month"), ["uid", "month"], "left").select(
+    return _timeline(ft, pm, forward=True).select(
         "uid",
-        F.col("entity").alias("target"),
+        F.col("x").alias("target"),
         "month",
-        F.coalesce("source", F.lit(ROAMING).cast("bigint")).alias("source"),
+        F.coalesce("leader", F.lit(ROAMING).cast("bigint")).alias("source"),
     )
 
 
 def flow_target(ft: DataFrame, pm: DataFrame) -> DataFrame:
     """(uid, source, month, target)."""
-    after = _counts(ft, pm, lambda month, at: month >= add_months(at, 1))
-    rank = F.row_number().over(Window.partitionBy("uid", "at").orderBy(F.col("cnt").desc(), F.col("entity")))
-    top2 = (
-        after.withColumn("rk", rank)
-        .filter("rk <= 2")
-        .groupBy("uid", "at")
-        .agg(
-            F.max(F.when(F.col("rk") == 1, F.col("entity"))).alias("t1"),
-            F.max(F.when(F.col("rk") == 2, F.col("entity"))).alias("t2"),
-        )
+    marks = _timeline(ft, pm, forward=False)
+    need = marks.filter(F.col("leader") == F.col("x")).select("uid", F.col("month").alias("at"), "x")
+    cells = pm.select("uid", "entity", "month", "n")
+    runner = (
+        need.join(cells, "uid")
+        .filter((F.col("month") >= add_months("at", 1)) & (F.col("entity") != F.col("x")))
+        .groupBy("uid", "at", "x", "entity")
+        .agg(F.sum("n").alias("cnt"))
+        .withColumn("rk", F.row_number().over(Window.partitionBy("uid", "at", "x").orderBy(F.col("cnt").desc(), F.col("entity"))))
+        .filter("rk = 1")
+        .select("uid", F.col("at").alias("month"), "x", F.col("entity").alias("second"))
     )
-    pick = F.when(F.col("t1") != F.col("entity"), F.col("t1")).otherwise(F.col("t2"))
-    return ft.join(top2.withColumnRenamed("at", "month"), ["uid", "month"], "left").select(
+    pick = F.when(F.col("leader") != F.col("x"), F.col("leader")).otherwise(F.col("second"))
+    return marks.join(runner, ["uid", "month", "x"], "left").select(
         "uid",
-        F.col("entity").alias("source"),
+        F.col("x").alias("source"),
         "month",
         F.coalesce(pick, F.lit(ROAMING).cast("bigint")).alias("target"),
     )

@@ -61,3 +61,20 @@ def pair_label_augmented(labels: DataFrame, glob: DataFrame) -> DataFrame:
 def user_modal_label(aug: DataFrame) -> DataFrame:
     """Most frequent label per user; ties go to the smallest label."""
     return aug.groupBy("uid").agg(F.mode("label", deterministic=True).alias("global_label"))
+
+
+def user_modal_label_from_pairs(labels: DataFrame) -> DataFrame:
+    """D27 computed from D06 directly (same result as ``user_modal_label(D08)``).
+
+    D08 adds exactly one ROAMING row to users without a FIXED pair, so with
+    c2 FIXED and c1 FLOWING pairs the mode (ties -> smallest label) is:
+    c2 > 0: FIXED if c2 >= c1 else FLOWING; c2 = 0: ROAMING if c1 == 1 else FLOWING.
+    A plain hash aggregation per user — no union, no value maps."""
+    c2 = F.count_if(F.col("label") == FIXED)
+    c1 = F.count_if(F.col("label") == FLOWING)
+    modal = (
+        F.when(c2 > 0, F.when(c2 >= c1, F.lit(FIXED)).otherwise(F.lit(FLOWING)))
+        .when(c1 == 1, F.lit(ROAMING))
+        .otherwise(F.lit(FLOWING))
+    )
+    return labels.groupBy("uid").agg(modal.alias("global_label"))

@@ -23,12 +23,20 @@ from fanlens.sources.interactions import FIXTURES
 
 
 class AudienceModel:
-    def __init__(self, ia: DataFrame, params: Params = Params(), dim: DataFrame | None = None, persist: bool = True):
-        self.ia = ia
-        self.p = params
-        self.dim = dim
+    def __init__(
+        self,
+        ia: DataFrame,
+        params: Params = Params(),
+        dim: DataFrame | None = None,
+        persist: bool = True,
+        derived_log: bool = False,
+    ):
+        """``derived_log``: the log itself is computed (a fixture join), so keep it too."""
         self._persist = persist
         self._held: list[DataFrame] = []
+        self.ia = self._keep(ia) if derived_log else ia
+        self.p = params
+        self.dim = dim
 
     # -- helpers ---------------------------------------------------------------
     def _keep(self, df: DataFrame) -> DataFrame:
@@ -57,7 +65,7 @@ class AudienceModel:
 
     @cached_property
     def pair_months(self) -> DataFrame:
-        return base.pair_months(self.pair_days)
+        return self._keep(base.pair_months(self.pair_days))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -88,7 +96,7 @@ class AudienceModel:
 
     @cached_property
     def pair_label(self) -> DataFrame:
-        return labels.pair_label(self.pair_stats, self.entity_threshold)
+        return self._keep(labels.pair_label(self.pair_stats, self.entity_threshold))
 
     @cached_property
     def user_global_label(self) -> DataFrame:
@@ -96,20 +104,20 @@ class AudienceModel:
 
     @cached_property
     def pair_label_augmented(self) -> DataFrame:
-        return self._keep(labels.pair_label_augmented(self.pair_label, self.user_global_label))
+        return labels.pair_label_augmented(self.pair_label, self.user_global_label)
 
     @cached_property
     def user_modal_label(self) -> DataFrame:
-        return labels.user_modal_label(self.pair_label_augmented)
+        return self._keep(labels.user_modal_label_from_pairs(self.pair_label))
 
     # -- flows -----------------------------------------------------------------
     @cached_property
     def flow_source(self) -> DataFrame:
-        return flows.flow_source(self.first_touch, self.pair_months)
+        return self._keep(flows.flow_source(self.first_touch, self.pair_months))
 
     @cached_property
     def flow_target(self) -> DataFrame:
-        return flows.flow_target(self.first_touch, self.pair_months)
+        return self._keep(flows.flow_target(self.first_touch, self.pair_months))
 
     @cached_property
     def flow_matrix_in(self) -> DataFrame:
@@ -122,7 +130,7 @@ class AudienceModel:
     # -- funnel ----------------------------------------------------------------
     @cached_property
     def funnel_core(self) -> DataFrame:
-        return funnel.funnel_core(funnel.pair_funnel(self.pair_days, self.p))
+        return self._keep(funnel.funnel_core(funnel.pair_funnel(self.pair_days, self.p)))
 
     @cached_property
     def acquisition(self) -> DataFrame:
@@ -151,7 +159,7 @@ class AudienceModel:
 
     @cached_property
     def rfm_user(self) -> DataFrame:
-        return rfm.rfm_user(self.rfm_score)
+        return self._keep(rfm.rfm_user(self.rfm_score))
 
     @cached_property
     def rfm_daily_contribution(self) -> DataFrame:
@@ -198,11 +206,11 @@ class AudienceModel:
     # -- cohorts ---------------------------------------------------------------
     @cached_property
     def cohort_retention(self) -> DataFrame:
-        return cohort.cohort_retention(self.first_touch, self.pair_label_augmented, self.pair_months)
+        return cohort.cohort_retention(self.first_touch, self.pair_label, self.pair_months)
 
     @cached_property
     def cohort_layer_funnel(self) -> DataFrame:
-        return cohort.cohort_layer_funnel(self.first_touch, self.pair_label_augmented)
+        return cohort.cohort_layer_funnel(self.first_touch, self.pair_label)
 
     # -- growth ----------------------------------------------------------------
     @cached_property
@@ -229,7 +237,7 @@ def model_for(spark: SparkSession, sf_dir: str, fixture: str = "f1", params: Par
         m = _MODELS.get(key)
         if m is None:
             ia = FIXTURES[fixture](spark, sf_dir)
-            m = AudienceModel(ia, params, dim=dims.nation_entities(spark, sf_dir))
+            m = AudienceModel(ia, params, dim=dims.nation_entities(spark, sf_dir), derived_log=fixture != "f3")
             _MODELS[key] = m
         return m
 

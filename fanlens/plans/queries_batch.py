@@ -165,7 +165,7 @@ def d25(m):
 
 @register("d25_cohort_retention_v2", "SELECT * FROM cohort WHERE month_age >= 0")
 def d25_v2(m):
-    return cohort.cohort_retention(m.first_touch, m.pair_label_augmented, m.pair_months, min_age=0)
+    return cohort.cohort_retention(m.first_touch, m.pair_label, m.pair_months, min_age=0)
 
 
 @register("d26_rfm_daily_contribution", "SELECT * FROM rdc", headline=True)
@@ -233,7 +233,7 @@ def d36(m):
 
 @register("d36_cohort_layer_funnel_v2", "SELECT * FROM lfunnel_v2")
 def d36_v2(m):
-    return cohort.cohort_layer_funnel_v2(m.first_touch, m.pair_label_augmented, m.pair_months)
+    return cohort.cohort_layer_funnel_v2(m.first_touch, m.pair_label, m.pair_months)
 
 
 @register("d37_layer_funnel_snapshot", "SELECT * FROM lfunnel")
