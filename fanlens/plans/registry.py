@@ -21,6 +21,8 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     oracle: str | None
     headline: bool = False
+    on_model: Callable[[AudienceModel], DataFrame] | None = None
+    final_sql: str | None = None
 
 
 REGISTRY: dict[str, Query] = {}
@@ -34,7 +36,7 @@ def register(name: str, final_sql: str | None, fixture: str = "f1", headline: bo
             return fn(model_for(spark, sf_dir, fixture))
 
         q = oracle.sql(final_sql, fixture) if final_sql is not None else None
-        REGISTRY[name] = Query(name, build, q, headline)
+        REGISTRY[name] = Query(name, build, q, headline, on_model=fn, final_sql=final_sql)
         return fn
 
     return deco
