@@ -66,7 +66,7 @@ BENCH_QUERIES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16"))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus if cpus.isdigit() else "8"))
     spark = build_session(cpus, shuffle_partitions=parts, app="fanlens-bench")
     reg = load_all()
 

@@ -33,7 +33,8 @@ def cohort_retention(ft: DataFrame, labels: DataFrame, pm: DataFrame, min_age: i
 
 
 def _stage(df: DataFrame, base: DataFrame, idx: int) -> DataFrame:
-    counted = df.groupBy("entity", "cohort_month").agg(F.countDistinct("uid").alias("users"))
+    # rows come from first touches, unique per (uid, entity): a count is a distinct-user count
+    counted = df.groupBy("entity", "cohort_month").agg(F.count(F.lit(1)).alias("users"))
     return base.withColumnRenamed("users", "base_users").join(counted, ["entity", "cohort_month"]).select(
         "entity",
         "cohort_month",
@@ -48,7 +49,7 @@ def cohort_layer_funnel(ft: DataFrame, labels: DataFrame) -> DataFrame:
     """D36 (literal): new / month1_fixed / month2_fixed per (entity, cohort_month)."""
     new = ft.select("entity", F.col("month").alias("cohort_month"), "uid")
     fixed_users = labels.filter(F.col("label") == FIXED).select("uid").distinct()
-    base = new.groupBy("entity", "cohort_month").agg(F.countDistinct("uid").alias("users"))
+    base = new.groupBy("entity", "cohort_month").agg(F.count(F.lit(1)).alias("users"))
     out = base.select(
         "entity", "cohort_month", F.lit(FUNNEL_STAGES[0]).alias("stage"), F.lit(1).alias("stage_ord"),
         "users", F.lit(1.0).alias("pct"),
@@ -66,7 +67,7 @@ def cohort_layer_funnel_v2(ft: DataFrame, labels: DataFrame, pm: DataFrame) -> D
     """D36 intent: the pair is FIXED and still active on that entity k months later."""
     new = ft.select("entity", F.col("month").alias("cohort_month"), "uid")
     fixed_pairs = labels.filter(F.col("label") == FIXED).select("uid", "entity")
-    base = new.groupBy("entity", "cohort_month").agg(F.countDistinct("uid").alias("users"))
+    base = new.groupBy("entity", "cohort_month").agg(F.count(F.lit(1)).alias("users"))
     out = base.select(
         "entity", "cohort_month", F.lit(FUNNEL_STAGES[0]).alias("stage"), F.lit(1).alias("stage_ord"),
         "users", F.lit(1.0).alias("pct"),

@@ -25,7 +25,7 @@ def incidence_vectors(ev: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(uid, features) binary rows, the entity index and the column count."""
     idx = entity_index(ev)
     n_cols = idx.count()  # bounded by the entity dimension
-    cells = ev.select("uid", "entity").distinct().join(F.broadcast(idx), "entity")
+    cells = ev.select("uid", "entity").distinct().join(idx, "entity")
     rows = cells.groupBy("uid").agg(F.collect_set("idx").alias("idxs"))
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(max(n_cols, 1) - 1)),
@@ -53,7 +53,7 @@ def cluster_profile(seg: DataFrame, idx: DataFrame, top: int = 5) -> DataFrame:
     size = seg.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     cells = seg.select("uid", "cluster", F.posexplode(vector_to_array("features")).alias("idx", "v")).filter("v > 0")
     counts = cells.groupBy("cluster", "idx").agg(F.count(F.lit(1)).alias("users"))
-    mean = counts.join(size, "cluster").join(F.broadcast(idx), "idx").select(
+    mean = counts.join(size, "cluster").join(idx, "idx").select(
         "cluster", "entity", (F.col("users") / F.col("size")).alias("mean")
     )
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("mean").desc(), F.col("entity")))

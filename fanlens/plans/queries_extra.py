@@ -88,7 +88,7 @@ JOIN (SELECT entity, CAST(row_number() OVER (ORDER BY entity) - 1 AS INTEGER) AS
 @register("a47_incidence_matrix", _cte_inc)
 def a47(m):
     c = _segments(m)
-    return c["ev"].select("uid", "entity").distinct().join(F.broadcast(c["idx"]), "entity").select("uid", "entity", "idx")
+    return c["ev"].select("uid", "entity").distinct().join(c["idx"], "entity").select("uid", "entity", "idx")
 
 
 @register("a48_kmeans_segments", None)
