@@ -68,6 +68,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus if cpus.isdigit() else "8"))
     spark = build_session(cpus, shuffle_partitions=parts, app="fanlens-bench")
+    for kv in filter(None, os.environ.get("BENCH_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        spark.conf.set(k.strip(), v.strip())
     reg = load_all()
 
     t = time.time()
