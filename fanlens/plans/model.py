@@ -147,7 +147,8 @@ class AudienceModel:
     # -- rfm -------------------------------------------------------------------
     @cached_property
     def rfm_base(self) -> DataFrame:
-        return rfm.rfm_base(self.ia, self.ref_ts, self.p)
+        # read twice (percentiles per entity, then scoring): keep the 90-day slice
+        return self._keep(rfm.rfm_base(self.ia, self.ref_ts, self.p))
 
     @cached_property
     def rfm_thresholds(self) -> DataFrame:
