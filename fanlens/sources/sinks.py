@@ -16,6 +16,16 @@ def snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.parquet(path)
 
 
+def read_through(spark, path: str, build, refresh: bool = False) -> DataFrame:
+    """Parquet cache at ``path``; built (and written) only when missing or ``refresh``."""
+    if not refresh:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - not cached yet
+            pass
+    return snapshot(build(), path)
+
+
 def export_csv(df: DataFrame, path: str) -> DataFrame:
     """CSV with a header row (one file per partition)."""
     df.write.mode("overwrite").option("header", True).csv(path)
