@@ -15,10 +15,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "fanlens") -> SparkSession:
+def build_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "fanlens", java_options: str | None = None
+) -> SparkSession:
     """Local session for tests and the bench (a cluster session comes from the caller)."""
+    builder = SparkSession.builder
+    if java_options:
+        builder = builder.config("spark.driver.extraJavaOptions", java_options)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
