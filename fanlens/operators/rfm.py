@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanlens.functions.time import add_days, day_diff
+from fanlens.functions.time import add_days, day_diff, month_start
 from fanlens.params import (
     RFM_CHURN_RISK,
     RFM_HIGH_VALUE,
@@ -24,8 +24,12 @@ from fanlens.params import (
 def rfm_base(ia: DataFrame, ref_ts: Column, p: Params = Params()) -> DataFrame:
     """Pairs active in the last ``rfm_window_days`` before the latest event.
 
-    With ``ref_ts`` a literal the time filter reaches the Parquet scan."""
-    recent = ia.filter(F.col("ts") >= add_days(ref_ts, -p.rfm_window_days))
+    With ``ref_ts`` a literal the time filter reaches the Parquet scan, and on a
+    ``month``-partitioned log the implied month bound prunes partitions."""
+    lo = add_days(ref_ts, -p.rfm_window_days)
+    recent = ia.filter(F.col("ts") >= lo)
+    if "month" in ia.columns:
+        recent = recent.filter(F.col("month") >= month_start(lo))
     return (
         recent.groupBy("uid", "entity")
         .agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("freq"))

@@ -49,8 +49,19 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet interaction log (optionally ``month``-partitioned)."""
-    return conform(spark.read.parquet(path))
+    """A Parquet interaction log.
+
+    A ``month`` partition column (as written by the ingestion jobs) is kept so
+    that time filters can also prune partitions."""
+    raw = spark.read.parquet(path)
+    if "month" not in raw.columns:
+        return conform(raw)
+    return raw.select(
+        F.col("uid").cast("bigint").alias("uid"),
+        F.col("entity").cast("bigint").alias("entity"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.col("month").cast("timestamp_ntz").alias("month"),
+    )
 
 
 def _orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
