@@ -25,7 +25,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -36,7 +35,7 @@ from fanlens.functions.time import month_start  # noqa: E402
 from fanlens.plans import oracle  # noqa: E402
 from fanlens.plans.model import AudienceModel  # noqa: E402
 from fanlens.plans.registry import load_all  # noqa: E402
-from fanlens.session import build_session  # noqa: E402
+from fanlens.session import build_session, shared_path  # noqa: E402
 from fanlens.sources.dims import nation_entities  # noqa: E402
 from fanlens.sources.interactions import orders_interactions, read_interactions  # noqa: E402
 
@@ -84,8 +83,7 @@ def main() -> None:
     spark.range(200_000).selectExpr("id % 97 AS k", "id").groupBy("k").agg(F.sum("id")).write.format("noop").mode("overwrite").save()
     warmup = time.time() - t
 
-    scratch = tempfile.mkdtemp(prefix="fanlens-bench-")
-    log_path = os.path.join(scratch, "interactions")
+    log_path = shared_path(spark, "bench", "interactions", unique=True)
     t = time.time()
     (
         orders_interactions(spark, sf_dir)

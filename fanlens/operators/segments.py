@@ -21,12 +21,32 @@ def entity_index(ev: DataFrame) -> DataFrame:
     return ents.withColumn("idx", (F.row_number().over(Window.orderBy("entity")) - 1).cast("int"))
 
 
+DENSE_MAX_COLS = 1024
+
+
+def _sparse_rows(n_cols: int):
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def to_sparse(idxs):
+        ids = sorted(idxs)
+        return SparseVector(n_cols, ids, [1.0] * len(ids))
+
+    return to_sparse
+
+
 def incidence_vectors(ev: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(uid, features) binary rows, the entity index and the column count."""
+    """(uid, features) binary rows, the entity index and the column count.
+
+    Dense vectors from built-in array functions while the entity count is
+    small; sparse vectors (a small per-row helper over the ``max_users`` rows)
+    beyond ``DENSE_MAX_COLS`` so a row never grows with the entity count."""
     idx = entity_index(ev)
-    n_cols = idx.count()  # bounded by the entity dimension
+    n_cols = idx.count()  # bounded by the entities of the clustered users
     cells = ev.select("uid", "entity").distinct().join(idx, "entity")
     rows = cells.groupBy("uid").agg(F.collect_set("idx").alias("idxs"))
+    if n_cols > DENSE_MAX_COLS:
+        return rows.select("uid", _sparse_rows(n_cols)("idxs").alias("features")), idx, n_cols
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(max(n_cols, 1) - 1)),
         lambda i: F.when(F.array_contains(F.col("idxs"), i), F.lit(1.0)).otherwise(F.lit(0.0)),

@@ -97,3 +97,14 @@ def test_mid_scale_model_has_all_relations(spark):
 
     m = model_for(spark, SF_MID)
     assert m.first_touch.count() == 26543
+
+
+def test_sparse_incidence_equals_dense(spark, monkeypatch):
+    ev = spark.createDataFrame([(u, e) for u in range(6) for e in range(1, 6) if (u + e) % 3], "uid long, entity long")
+    dense, _, n = segments.incidence_vectors(ev)
+    monkeypatch.setattr(segments, "DENSE_MAX_COLS", 1)
+    sparse, _, n2 = segments.incidence_vectors(ev)
+    assert n == n2 == 5
+    d = {r["uid"]: r["features"].toArray().tolist() for r in dense.collect()}
+    s = {r["uid"]: r["features"].toArray().tolist() for r in sparse.collect()}
+    assert d == s
