@@ -17,10 +17,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanlens.functions.math import safe_ratio
 from fanlens.functions.select import entity_filter
 from fanlens.functions.time import add_days, year_month
-from fanlens.params import FIXED, OTHERS, ROAMING, RFM_HIGH_VALUE, STAGES
+from fanlens.params import OTHERS, ROAMING, RFM_HIGH_VALUE, STAGES
 
 ROAMING_NAME = "roaming"
 OTHERS_NAME = "Others"
@@ -415,6 +414,13 @@ def rfm_histograms(seg: DataFrame) -> DataFrame:
     return code.unionByName(tag).select("kind", "value", "freq")
 
 
+def rfm_histograms_weighted(seg: DataFrame) -> DataFrame:
+    """A42 intent: users per code and per tag (sums ``cnt`` instead of counting rows)."""
+    code = seg.groupBy(F.col("rfm_code").alias("value")).agg(F.sum("cnt").alias("freq")).withColumn("kind", F.lit("code"))
+    tag = seg.groupBy(F.col("rfm_tag").alias("value")).agg(F.sum("cnt").alias("freq")).withColumn("kind", F.lit("tag"))
+    return code.unionByName(tag).select("kind", "value", "freq")
+
+
 def high_value_share(seg: DataFrame) -> DataFrame:
     """A43."""
     out = seg.agg(
@@ -430,6 +436,14 @@ def rfm_contribution_series(rdc: DataFrame, ids: Sequence[int] | None) -> DataFr
     return rdc.filter(entity_filter("entity", ids)).groupBy("day", "rfm_tag").agg(F.round(F.sum("evt_ratio"), 9).alias("evt_ratio"))
 
 
+def rfm_contribution_shares(series: DataFrame) -> DataFrame:
+    """A52 intent: per day, each tag's share of the summed ratios (sums to 1 per day)."""
+    tot = series.groupBy("day").agg(F.sum("evt_ratio").alias("_tot"))
+    return series.join(tot, "day").select(
+        "day", "rfm_tag", F.round(F.col("evt_ratio") / F.col("_tot"), 9).alias("share")
+    )
+
+
 def weakest_segment(series: DataFrame) -> DataFrame:
     """Each tag's value on its last day; the smallest (ties -> smaller tag); flag < 0.15."""
     last = series.dropna().groupBy("rfm_tag").agg(F.max_by("evt_ratio", "day").alias("evt_ratio"))
@@ -462,4 +476,3 @@ def top_active_users(ev: DataFrame, n: int = 3000) -> DataFrame:
     return ev.join(F.broadcast(top.select("uid")), "uid", "left_semi")
 
 
-_ = FIXED

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fanlens.operators import cohort, rfm
-from fanlens.params import ROAMING
 from fanlens.plans.registry import register, register_raw
 from fanlens.plans import oracle
 from fanlens.sources import dims, sinks
@@ -293,4 +292,3 @@ def d41_sentinel(m):
     return m.entity_flow_net_churn
 
 
-_ = ROAMING

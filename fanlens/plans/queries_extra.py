@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from fanlens.operators import curvefit, ingest, segments
 from fanlens.operators import selection as S
 from fanlens.plans import oracle
-from fanlens.plans.model import model_for
 from fanlens.plans.registry import register, register_raw
 from fanlens.session import shared_path
 from fanlens.sources import sinks
-from fanlens.sources.interactions import FIXTURES, table
+from fanlens.sources.interactions import EVENT_TYPE_ENTITY as _EVENT_TYPES
+from fanlens.sources.interactions import FIXTURES
 from fanlens.streaming.append import stream_append
 from fanlens.streaming.daily import read_daily_type, run_daily_type
 
@@ -57,6 +57,14 @@ def a14(m):
     return curvefit.headroom(m.growth_sequence, _fit(m))
 
 
+@register("d35_lifecycle_stage_v2", None)
+def d35_v2(m):
+    """Q16 intent: lifecycle stages from the fitted curve instead of the initial guesses."""
+    from fanlens.operators import growth
+
+    return growth.lifecycle_stage(m.growth_sequence, _fit(m).select("entity", "K", "r", "t0"))
+
+
 @register("a15_export_params", None)
 def a15(m):
     return sinks.export_csv(_fit(m), shared_path(m.spark, "exports", "scurve_params", unique=True))
@@ -193,6 +201,3 @@ def t04(spark, sf_dir):
     return read_daily_type(spark, out)
 
 
-from fanlens.sources.interactions import EVENT_TYPE_ENTITY as _EVENT_TYPES  # noqa: E402
-
-_ = (model_for, table)
