@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanlens.params import CLUSTER_K_RANGE, check_range
+
 
 def entity_index(ev: DataFrame) -> DataFrame:
     """Dense 0-based column index of every entity present (sorted by id)."""
@@ -56,6 +58,7 @@ def incidence_vectors(ev: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 def kmeans_segments(vec: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     """(uid, cluster, features)."""
+    check_range("k", k, *CLUSTER_K_RANGE)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
     return model.transform(vec).select("uid", "cluster", "features")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fanlens.functions.select import entity_filter
 from fanlens.functions.time import add_days, year_month
-from fanlens.params import OTHERS, ROAMING, RFM_HIGH_VALUE, STAGES
+from fanlens.params import MIN_CLUSTER_USERS, OTHERS, ROAMING, RFM_HIGH_VALUE, STAGES, TOP_N_RANGE, check_range
 
 ROAMING_NAME = "roaming"
 OTHERS_NAME = "Others"
@@ -171,6 +171,7 @@ def interest_association(
 
     Literal "Others" = the entities after position N in id order (Q13);
     ``true_rest`` = everything not in the top N."""
+    check_range("top_n", top_n, *TOP_N_RANGE)
     tot = association_totals(mi, mo, ids, exclude_roaming)
     top = tot.orderBy(F.col("cnt").desc(), F.col("entity")).limit(top_n)
     head = top if true_rest else tot.orderBy("entity").limit(top_n)
@@ -472,6 +473,7 @@ def top_active_users(ev: DataFrame, n: int = 3000) -> DataFrame:
     """Events of the n users with most events (ties -> smaller uid).
 
     The top-n list is a distributed top-k bounded by n, then a semi-join."""
+    check_range("max_users", n, MIN_CLUSTER_USERS)
     top = ev.groupBy("uid").agg(F.count(F.lit(1)).alias("events")).orderBy(F.col("events").desc(), F.col("uid")).limit(n)
     return ev.join(F.broadcast(top.select("uid")), "uid", "left_semi")
 

@@ -30,6 +30,20 @@ RFM_POTENTIAL = "potential"
 RFM_CHURN_RISK = "churn_risk"
 RFM_REGULAR = "regular"
 
+# parameter ranges of the interactive controls (fixed values)
+TOP_N_RANGE = (3, 15)
+CLUSTER_K_RANGE = (2, 10)
+MIN_CLUSTER_USERS = 100
+
+
+def check_range(name: str, value: int, lo: int, hi: int | None = None) -> int:
+    """Reject parameters outside the ranges the interactive controls allow."""
+    if value < lo or (hi is not None and value > hi):
+        bound = f"[{lo}, {hi}]" if hi is not None else f">= {lo}"
+        raise ValueError(f"{name}={value} outside {bound}")
+    return value
+
+
 STAGES = ("takeoff", "accelerate", "peak_sprint", "slowing", "pullback_warning", "decline")
 FUNNEL_STAGES = ("new", "month1_fixed", "month2_fixed")
 

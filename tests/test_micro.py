@@ -181,11 +181,26 @@ def test_sentinel_rows_are_weak_and_excluded_from_real_entity_ops(make_log):
 
 def test_interest_association_others_is_id_ordered_tail(spark):
     mi = spark.createDataFrame(
-        [(9, "2024-01-01", s, c) for s, c in [(1, 1), (2, 50), (3, 40), (4, 5)]], "target long, month string, source long, cnt long"
+        [(9, "2024-01-01", s, c) for s, c in [(1, 1), (2, 50), (3, 40), (4, 5), (5, 30)]],
+        "target long, month string, source long, cnt long",
     ).withColumn("month", F.col("month").cast("timestamp_ntz"))
     mo = spark.createDataFrame([], "source long, month timestamp_ntz, target long, cnt long")
-    lit = rows(selection.interest_association(mi, mo, [9], top_n=2), "entity", "cnt")
-    # top 2 by count: 2 (50), 3 (40); "Others" = entities after position 2 in id order: 3 + 4 = 45
-    assert lit == [(-999, 45), (2, 50), (3, 40)]
-    v2 = rows(selection.interest_association(mi, mo, [9], top_n=2, true_rest=True), "entity", "cnt")
-    assert v2 == [(-999, 6), (2, 50), (3, 40)]
+    lit = rows(selection.interest_association(mi, mo, [9], top_n=3), "entity", "cnt")
+    # top 3 by count: 2, 3, 5; literal "Others" = entities after position 3 in id order (4, 5) = 35
+    assert lit == [(-999, 35), (2, 50), (3, 40), (5, 30)]
+    v2 = rows(selection.interest_association(mi, mo, [9], top_n=3, true_rest=True), "entity", "cnt")
+    assert v2 == [(-999, 6), (2, 50), (3, 40), (5, 30)]
+
+
+def test_parameter_ranges_match_the_controls(spark):
+    import pytest
+
+    from fanlens.operators import segments
+
+    empty = spark.createDataFrame([], "target long, month timestamp_ntz, source long, cnt long")
+    with pytest.raises(ValueError):
+        selection.interest_association(empty, empty.toDF("source", "month", "target", "cnt"), [1], top_n=2)
+    with pytest.raises(ValueError):
+        selection.top_active_users(spark.createDataFrame([], "uid long, entity long"), 50)
+    with pytest.raises(ValueError):
+        segments.kmeans_segments(spark.createDataFrame([], "uid long"), k=11)
