@@ -31,6 +31,9 @@ def build_session(
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # joins on (uid, x) may reuse a uid hash partitioning instead of re-shuffling
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        # AQE may replace a sort-merge join by a shuffled hash join when every build-side
+        # partition is measured below this size (no sort of the large side)
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
