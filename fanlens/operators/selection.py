@@ -113,14 +113,15 @@ def penetration_share(pen: DataFrame) -> DataFrame:
 
 
 def top_concentration(pen: DataFrame, k: int = 3) -> DataFrame:
-    """Sum of the k largest penetrations in the latest month; bands >0.6 / >0.4."""
+    """Sum of the k largest penetrations in the latest month; bands >0.6 / >0.4.
+
+    The k largest are a distributed top-k (bounded by k), not a window over all entities."""
     last = _latest(pen, "month")
-    w = Window.partitionBy("month").orderBy(F.col("penetration").desc(), F.col("entity"))
-    top = last.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    top = last.orderBy(F.col("penetration").desc(), F.col("entity")).limit(k)
     s = F.sum("penetration")
     return top.groupBy("month").agg(
         F.round(s, 9).alias("top_penetration"),
-        F.min(F.when(F.col("rk") == 1, F.col("entity"))).alias("leader"),
+        F.max_by("entity", F.struct(F.col("penetration"), -F.col("entity"))).alias("leader"),
         F.max("penetration").alias("leader_penetration"),
         F.when(s > 0.6, "concentrated").when(s > 0.4, "semi").otherwise("dispersed").alias("band"),
     )
@@ -287,8 +288,7 @@ def top_flow_partner(src_named: DataFrame, tgt_named: DataFrame) -> DataFrame:
     def best(df: DataFrame, direction: str) -> DataFrame:
         cell = df.groupBy("month", "name").agg(F.avg("cnt").alias("cnt"))
         last = _latest(cell, "month")
-        w = Window.partitionBy("month").orderBy(F.col("cnt").desc(), F.col("name"))
-        return last.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select(
+        return last.orderBy(F.col("cnt").desc(), F.col("name")).limit(1).select(
             F.lit(direction).alias("direction"), "month", "name", F.col("cnt").cast("bigint").alias("cnt")
         )
 
