@@ -40,7 +40,13 @@ def pair_days(ia: DataFrame, by_user: bool = True) -> DataFrame:
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
-    return out.repartition("uid") if by_user else out
+    return by_uid(out) if by_user else out
+
+
+def by_uid(df: DataFrame) -> DataFrame:
+    """Hash-partition by user with an explicit count (kept by AQE, reused downstream)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "uid")
 
 
 def pair_months(pd_: DataFrame) -> DataFrame:

@@ -30,9 +30,15 @@ class AudienceModel:
         dim: DataFrame | None = None,
         persist: bool = True,
         derived_log: bool = False,
+        durable: bool = False,
     ):
-        """``derived_log``: the log itself is computed (a fixture join), so keep it too."""
-        self._persist = persist
+        """``derived_log``: the log itself is computed (a fixture join), so keep it too.
+
+        ``durable``: write the shared ``pair_days`` as a reliable checkpoint into the
+        shared ``spark.checkpoint.dir`` (cuts the lineage to the raw log, so a lost
+        executor never re-scans the log); recommended on clusters."""
+        self._durable = durable
+        self._persist = persist or durable
         self._held: list[DataFrame] = []
         self.ia = self._keep(ia) if derived_log else ia
         self.p = params
@@ -61,6 +67,14 @@ class AudienceModel:
 
     @cached_property
     def pair_days(self) -> DataFrame:
+        if self._durable:
+            from fanlens.session import ensure_checkpoint_dir
+
+            # reliable checkpoint of the aggregate in the shared folder, then the usual
+            # user partitioning: a lost executor recomputes from here, not from the log
+            ensure_checkpoint_dir(self.ia.sparkSession)
+            agg = base.pair_days(self.ia, by_user=False).checkpoint(eager=True)
+            return self._keep(base.by_uid(agg))
         return self._keep(base.pair_days(self.ia))
 
     @cached_property

@@ -55,3 +55,16 @@ def test_label_domains(m):
 def test_literal_recency_score_never_three(m):
     assert _zero(m.rfm_user.filter(F.col("r") == 3))
     assert _zero(m.rfm_user.filter(F.col("rfm_code") != F.concat(F.col("r"), F.col("f"), F.col("m"))))
+
+
+def test_durable_mode_checkpoints_and_matches(spark, m):
+    from fanlens.plans.model import AudienceModel
+    from fanlens.sources.interactions import orders_interactions
+
+    d = AudienceModel(orders_interactions(spark, SF_MID), durable=True)
+    try:
+        for name in ("flow_source", "flow_target", "aarrr_metrics"):
+            a, b = getattr(d, name), getattr(m, name)
+            assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    finally:
+        d.release()
