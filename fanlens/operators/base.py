@@ -44,9 +44,8 @@ def pair_days(ia: DataFrame, by_user: bool = True) -> DataFrame:
 
 
 def by_uid(df: DataFrame) -> DataFrame:
-    """Hash-partition by user with an explicit count (kept by AQE, reused downstream)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "uid")
+    """Hash-partition by user (AQE may coalesce the count; the partitioning is reused downstream)."""
+    return df.repartition("uid")
 
 
 def pair_months(pd_: DataFrame) -> DataFrame:
