@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanlens.session import ensure_checkpoint_dir
+from fanlens.session import ensure_checkpoint_dir, shared_path
 
 #: A side whose measured size is below this is broadcast; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -17,6 +17,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it there."""
+    path = shared_path(df.sparkSession, name, unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def measured(df: DataFrame, row_bytes) -> tuple[DataFrame, bool]:
     """Materialise a small side and tell whether it may be broadcast.
 

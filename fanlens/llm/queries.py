@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanlens.llm import decontamination, html_extract, line_dedup, pieces, sharding, simhash, url_filter
+from fanlens.llm import decontamination, html_extract, learned_index, line_dedup, pieces, quality_lm, sharding, simhash, suffix_dedup, url_filter
 from fanlens.llm.common import text_bytes
 from fanlens.sources.interactions import table
 
@@ -38,6 +38,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op2_learned_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return learned_index.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode_texts(docs, piece_model())
@@ -49,6 +54,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept."""
+    judged = quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.where("keep").select("doc_id", "lang", "perplexity", "threshold")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_components(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -60,6 +71,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -81,5 +97,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op3_sentencepiece, op5_simhash, op6_line_dedup, op8_url_filter, op9_sharding, op10_decontamination)
+    for f in (
+        op1_html_extraction, op2_learned_index, op3_sentencepiece, op4_quality, op5_simhash,
+        op6_line_dedup, op7_suffix_dedup, op8_url_filter, op9_sharding, op10_decontamination,
+    )
 }
