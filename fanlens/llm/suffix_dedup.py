@@ -95,10 +95,14 @@ def merged(o: np.ndarray, sub: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.D
 
 
 def _first_of_class(h, c, o, sub, pos) -> tuple[np.ndarray, np.ndarray]:
-    """Order by context, then age; where a context begins in it."""
+    """Order by context, then age, each place once (a repeated row has the same); where a context begins in it."""
     order = np.lexsort((pos, sub, o, c, h))
-    hs, cs = h[order], c[order]
-    return order, np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1]))) if len(order) else np.zeros(0, bool)
+    if not len(order):
+        return order, np.zeros(0, bool)
+    differs = lambda x: x[order][1:] != x[order][:-1]
+    first = np.concatenate(([True], differs(h) | differs(c)))
+    once = first | np.concatenate(([True], differs(o) | differs(sub) | differs(pos)))
+    return order[once], first[once]
 
 
 def _anchored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +256,7 @@ def _levels(group: np.ndarray, order: np.ndarray, shared: np.ndarray, size: np.n
 
 def match_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ranges of contexts (h, o, sub, pos, before, after) that an earlier context of their gram repeats."""
-    pdf = pdf.sort_values(["o", "sub", "pos"], kind="stable")
+    pdf = pdf.drop_duplicates(["h", "o", "sub", "pos"]).sort_values(["o", "sub", "pos"], kind="stable")  # of repeated rows
     group = np.unique(pdf["h"].to_numpy(), return_inverse=True)[1]
     left = _parting(group, [x[::-1] for x in pdf["before"]], BEFORE)
     right = _parting(group, list(pdf["after"]), LENGTH)
