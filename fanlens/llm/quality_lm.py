@@ -8,6 +8,10 @@ number of different tokens before them, three discounts an order from the
 counts of counts, and the lower order mixed in with each history's own weight;
 unigrams are mixed with a uniform share.
 
+Documents fall into two halves by their texts' hash, and each half is judged by
+the counts of the other half's trusted documents.  So no document, and no copy
+of it, helps its own score, and trusted and new documents are measured alike.
+
 Scoring joins counts, not texts.  Documents are dealt once into groups of about
 ``GROUP_BYTES``; each group asks for its distinct 4-grams, these are looked up by
 joins sharded on (language, n-gram), and the answers return to the group, where
@@ -42,8 +46,9 @@ ORDER = 4
 START, END = "\x02", "\x03"
 GROUP_BYTES = 64 << 20
 TABLE_ROWS = 2_000_000  # n-grams that a task gathers before it hands them on
-QUANTILE, SLACK, SHORT = 0.98, 1.0, 200
+QUANTILE, SLACK, SHORT = 0.99, 2.0, 200
 STEP = 1000  # of log-perplexity
+FLOOR = 0.05  # of a discount, so that every history leaves some weight to unseen tokens
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -146,12 +151,12 @@ def _suffix(g, order: int) -> F.Column:
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3 of an order from its counts of counts (1/2, 1, 3/2 where one is missing)."""
+    """lang, d1, d2, d3 of an order from its counts of counts (1/2, 1, 3/2 where one is missing), ``FLOOR`` at least."""
     n = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     made = [k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}") for k in (1, 2, 3)]
     whole = F.least("n1", "n2", "n3", "n4") > 0
-    good = [F.when(whole, F.greatest(F.lit(0.0), F.least(F.lit(float(k)), d))).otherwise(F.lit(k / 2)).alias(f"d{k}") for k, d in zip((1, 2, 3), made)]
+    good = [F.when(whole, F.greatest(F.lit(FLOOR), F.least(F.lit(float(k)), d))).otherwise(F.lit(k / 2)).alias(f"d{k}") for k, d in zip((1, 2, 3), made)]
     return counts.groupBy("lang").agg(*n).select("lang", *good)
 
 
@@ -202,30 +207,34 @@ def log_probabilities(asked: DataFrame, probs: list[DataFrame], weights: list[Da
 def _rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("worst")).where("worst = 1").select("id", F.lit(True).alias("trusted"))
     name = F.when(F.col(lang).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(lang)))
-    rows = docs.select(F.col(id_col).alias("id"), name.alias("lang"), F.col(text).alias("text"))
+    half = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(2)).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), name.alias("lang"), half.alias("half"), F.col(text).alias("text"))
     rows = join_small(rows, good, ["id"], "left", F.lit(9))
     return rows.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """A row for each row of ``docs``: id, k (MD5 of language and text), lang, trusted, tokens, logp (sum, NaN without a model)."""
+    """A row for each row of ``docs``: id, k (MD5 of language and text), lang, trusted, tokens, logp (sum, null without a model)."""
     rows = _rows(docs, labels, id_col, text, lang)
-    counts = rows.where("trusted").select("lang", "text").mapInPandas(_counted, "lang string, g long, c long")
+    learned = rows.where("trusted").select(F.concat((1 - F.col("half")).cast("string"), "lang").alias("lang"), "text")
+    counts = learned.mapInPandas(_counted, "lang string, g long, c long")
     counts = durable(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")))
     probs, weights = kneser_ney(counts)
 
     size = docs.agg(F.sum(text_bytes(F.col(text)))).first()[0] or 0
     groups = int(size // group_bytes) + 1
     k = F.md5(F.concat_ws("\x00", "lang", F.coalesce("text", F.lit(""))))
-    dealt = rows.select("id", k.alias("k"), "lang", "trusted", "text")
+    model = F.concat(F.col("half").cast("string"), "lang")  # the model that judges the row: a half and a language
+    dealt = rows.select("id", k.alias("k"), model.alias("lang"), "trusted", "text")
     dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("id", "k"), F.lit(groups)).cast("int"))
     dealt = dealt.mapInPandas(_packed, "id long, k string, lang string, trusted boolean, grp int, blob binary").repartition(groups, "grp")
     asked = dealt.mapInPandas(_asked, "grp int, lang string, g long")
     answers = log_probabilities(asked.select("lang", "g").distinct(), probs, weights)
     answers = asked.join(answers, ["lang", "g"])
-    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(
+    scored = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(
         _scored, "id long, k string, lang string, trusted boolean, tokens long, logp double"
     )
+    return scored.withColumn("lang", F.expr("substr(lang, 2)"))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
@@ -241,7 +250,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row for each row of ``docs``: id, k, lang, perplexity, threshold, keep."""
-    scored = durable(score(docs, labels, id_col, text, lang, group_bytes).withColumn("lp", F.expr("-nanvl(logp, null) / tokens")))
+    scored = durable(score(docs, labels, id_col, text, lang, group_bytes).withColumn("lp", -F.col("logp") / F.col("tokens")))
     middle = thresholds(scored, 0.5, 0.0).select("lang", "median")
     few = F.greatest(F.lit(0), F.lit(SHORT) - F.col("tokens"))
     steady = (F.col("lp") * F.col("tokens") + F.col("median") * few) / (F.col("tokens") + few)
