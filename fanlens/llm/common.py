@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanlens.session import ensure_checkpoint_dir, shared_path
@@ -41,8 +41,12 @@ def join_small(left: DataFrame, side: DataFrame, on: list[str], how: str, row_by
     return left.join(F.broadcast(side) if small else side, on, how)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_bytes(col) -> F.Column:

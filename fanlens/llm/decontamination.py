@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fanlens.llm.common import free_name
+
 RATE = 0.05
 BLOCK_CHARS = 2_000_000
 MATCHES = T.ArrayType(
@@ -130,20 +132,20 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield block
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """``docs`` with ``matches``: array of (item_id, start, end, distance), empty where a text is clean."""
-    kept = [c for c in docs.columns if c != "matches"]
-    out = docs.select(*kept, F.array().cast(MATCHES).alias("matches"))
+def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, into: str = "matches") -> DataFrame:
+    """``docs`` with ``into``: array of (item_id, start, end, distance), empty where a text is clean."""
+    kept = [c for c in docs.columns if c != into]
+    out = docs.select(*kept, F.array().cast(MATCHES).alias(into))
     schema = out.schema
 
     def scan(items):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = build(items, rate)
             for pdf in frames:
-                old = [list(x) for x in pdf["matches"]]
+                old = [list(x) for x in pdf[into]]
                 new = [[] if not isinstance(x, str) else find(x, items, automaton, rate) for x in pdf[text]]
                 found = [a + [dict(zip(("item_id", "start", "end", "distance"), m)) for m in b] for a, b in zip(old, new)]
-                yield pdf.assign(matches=pd.Series(found, index=pdf.index, dtype=object))
+                yield pdf.assign(**{into: pd.Series(found, index=pdf.index, dtype=object)})
 
         return run
 
@@ -160,4 +162,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
-    return find_items(docs, benchmark, text, rate=rate).where(F.size("matches") == 0).drop("matches")
+    into = free_name(docs, "matches")
+    return find_items(docs, benchmark, text, rate=rate, into=into).where(F.size(into) == 0).drop(into)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanlens.llm.common import durable, join_small
+from fanlens.llm.common import durable, free_name, join_small
 from fanlens.llm.components import connected, local_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -63,14 +63,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without ``text``, with fp (long)."""
     kept = [c for c in docs.columns if c not in (text, "fp")]
+    source = free_name(docs, "source_text")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("fp", T.LongType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            fps = np.array([fingerprint(x, shingle) for x in pdf["_text"]], np.int64)
+            fps = np.array([fingerprint(x, shingle) for x in pdf[source]], np.int64)
             yield pdf[kept].assign(fp=fps)
 
-    return docs.select(*kept, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return docs.select(*kept, F.col(text).alias(source)).mapInPandas(run, schema)
 
 
 def blocks_of(budget: int) -> list[tuple[int, int]]:

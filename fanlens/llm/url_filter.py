@@ -71,6 +71,8 @@ def match_rules(urls: DataFrame, rules: DataFrame, salts: int = 64) -> DataFrame
     )
     depth = F.size(F.split("host", r"\.", -1))
     depths = sorted(r[0] for r in rules.select(depth).distinct().collect())  # label counts: at most a few dozen integers
+    if not depths:
+        return urls.select("host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).limit(0)
     labels = F.split("host", r"\.", -1)
     under = F.filter(F.array(*[F.lit(d) for d in depths]), lambda d: d <= F.size(labels))
     key = F.transform(under, lambda d: F.array_join(F.slice(F.reverse(labels), F.lit(1), d), "."))
