@@ -27,7 +27,7 @@ def _layers(label: str = "global_label"):
         F.count(F.lit(1)).alias("mau"),
         F.count_if(g == FIXED).alias("fixed_mau"),
         F.count_if(g == FLOWING).alias("flowing_mau"),
-        F.count_if(g == ROAMING).alias("ylg_mau"),
+        F.count_if(g == ROAMING).alias("roaming_mau"),
     ]
 
 
@@ -59,11 +59,11 @@ def active_layers_totals(eal: DataFrame) -> DataFrame:
         F.sum("mau").alias("industry_mau"),
         F.sum("fixed_mau").alias("industry_fixed"),
         F.sum("flowing_mau").alias("industry_flowing"),
-        F.sum("ylg_mau").alias("industry_ylg"),
+        F.sum("roaming_mau").alias("industry_roaming"),
     )
     return eal.join(totals, "month").select(
-        "month", "entity", "mau", "fixed_mau", "flowing_mau", "ylg_mau",
-        "industry_mau", "industry_fixed", "industry_flowing", "industry_ylg",
+        "month", "entity", "mau", "fixed_mau", "flowing_mau", "roaming_mau",
+        "industry_mau", "industry_fixed", "industry_flowing", "industry_roaming",
     )
 
 

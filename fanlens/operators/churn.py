@@ -16,19 +16,19 @@ from fanlens.params import ROAMING
 
 
 def _flow(mi: DataFrame, mo: DataFrame, keys_in, keys_out, on) -> DataFrame:
-    inflow = mi.groupBy(*keys_in).agg(F.sum(F.when(F.col("source") == ROAMING, F.col("cnt")).otherwise(0)).alias("in_ylg"))
-    outflow = mo.groupBy(*keys_out).agg(F.sum(F.when(F.col("target") == ROAMING, F.col("cnt")).otherwise(0)).alias("out_ylg"))
+    inflow = mi.groupBy(*keys_in).agg(F.sum(F.when(F.col("source") == ROAMING, F.col("cnt")).otherwise(0)).alias("in_roaming"))
+    outflow = mo.groupBy(*keys_out).agg(F.sum(F.when(F.col("target") == ROAMING, F.col("cnt")).otherwise(0)).alias("out_roaming"))
     return inflow.join(outflow, on, "full").select(
         *on,
-        F.coalesce("in_ylg", F.lit(0).cast("bigint")).alias("in_ylg"),
-        F.coalesce("out_ylg", F.lit(0).cast("bigint")).alias("out_ylg"),
+        F.coalesce("in_roaming", F.lit(0).cast("bigint")).alias("in_roaming"),
+        F.coalesce("out_roaming", F.lit(0).cast("bigint")).alias("out_roaming"),
     )
 
 
 def flow_net_churn(mi: DataFrame, mo: DataFrame, layers: DataFrame) -> DataFrame:
     """(month, net_flow, net_rate, churn_rate)."""
     flow = _flow(mi, mo, ["month"], ["month"], ["month"])
-    net = F.col("in_ylg") - F.col("out_ylg")
+    net = F.col("in_roaming") - F.col("out_roaming")
     return flow.join(layers.select("month", "flowing_mau"), "month").select(
         "month",
         net.alias("net_flow"),
@@ -42,7 +42,7 @@ def entity_flow_net_churn(mi: DataFrame, mo: DataFrame, eal: DataFrame) -> DataF
     mi_ = mi.filter(F.col("target") > 0).withColumnRenamed("target", "entity")
     mo_ = mo.filter(F.col("source") > 0).withColumnRenamed("source", "entity")
     flow = _flow(mi_, mo_, ["entity", "month"], ["entity", "month"], ["entity", "month"])
-    net = F.col("in_ylg") - F.col("out_ylg")
+    net = F.col("in_roaming") - F.col("out_roaming")
     return flow.join(eal.select("entity", "month", "flowing_mau"), ["entity", "month"]).select(
         "entity", "month", net.alias("net_flow"), safe_ratio(-net, "flowing_mau").alias("churn_rate")
     )

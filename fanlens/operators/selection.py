@@ -55,7 +55,7 @@ def with_names(df: DataFrame, dim: DataFrame, key: str = "entity", default: str
 
 # --- scale layers (A02-A05) -----------------------------------------------------
 def layer_series(layers: DataFrame) -> DataFrame:
-    return layers.select("month", "mau", "fixed_mau", "flowing_mau", "ylg_mau").orderBy("month")
+    return layers.select("month", "mau", "fixed_mau", "flowing_mau", "roaming_mau").orderBy("month")
 
 
 def _latest(df: DataFrame, order: str, part: Sequence[str] = ()) -> DataFrame:
@@ -75,24 +75,24 @@ def layer_health(layers: DataFrame) -> DataFrame:
     last = _latest(layers, "month")
     ratio = _fix_ratio(F.col("fixed_mau"), F.col("mau"))
     band = F.when(ratio > 0.55, "healthy").when(ratio > 0.4, "medium").otherwise("unstable")
-    return last.select("month", "mau", "fixed_mau", "flowing_mau", "ylg_mau", ratio.alias("fix_ratio"), band.alias("band"))
+    return last.select("month", "mau", "fixed_mau", "flowing_mau", "roaming_mau", ratio.alias("fix_ratio"), band.alias("band"))
 
 
 def entity_layer_series(eal: DataFrame, entity: int) -> DataFrame:
     """A04."""
-    return eal.filter(F.col("entity") == int(entity)).select("month", "mau", "fixed_mau", "flowing_mau", "ylg_mau")
+    return eal.filter(F.col("entity") == int(entity)).select("month", "mau", "fixed_mau", "flowing_mau", "roaming_mau")
 
 
 def entity_layer_health(eal: DataFrame) -> DataFrame:
     """Per entity, latest vs previous fixed share, direction and band (<0.4 / >0.7)."""
     w = Window.partitionBy("entity").orderBy("month")
     ratio = _fix_ratio(F.col("fixed_mau"), F.col("mau"))
-    x = eal.select("entity", "month", "mau", "fixed_mau", "flowing_mau", "ylg_mau", ratio.alias("fix_ratio"))
+    x = eal.select("entity", "month", "mau", "fixed_mau", "flowing_mau", "roaming_mau", ratio.alias("fix_ratio"))
     x = x.withColumn("prev_fix_ratio", F.coalesce(F.lag("fix_ratio").over(w), F.col("fix_ratio")))
     last = _latest(x, "month", ["entity"])
     band = F.when(F.col("fix_ratio") < 0.4, "unstable").when(F.col("fix_ratio") > 0.7, "core_stable").otherwise("growing")
     return last.select(
-        "entity", "month", "mau", "fixed_mau", "flowing_mau", "ylg_mau", "fix_ratio", "prev_fix_ratio",
+        "entity", "month", "mau", "fixed_mau", "flowing_mau", "roaming_mau", "fix_ratio", "prev_fix_ratio",
         F.when(F.col("fix_ratio") > F.col("prev_fix_ratio"), "up").otherwise("down").alias("trend"),
         F.abs(F.col("fix_ratio") - F.col("prev_fix_ratio")).alias("change"),
         band.alias("band"),

@@ -19,7 +19,7 @@ def _zero(df) -> bool:
 
 def test_layers_add_up(m):
     for df in (m.active_layers, m.entity_active_layers):
-        assert _zero(df.filter(F.col("fixed_mau") + F.col("flowing_mau") + F.col("ylg_mau") != F.col("mau")))
+        assert _zero(df.filter(F.col("fixed_mau") + F.col("flowing_mau") + F.col("roaming_mau") != F.col("mau")))
 
 
 def test_flow_matrices_sum_to_acquisition(m):

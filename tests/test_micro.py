@@ -115,7 +115,7 @@ def test_zero_flowing_gives_null_churn_and_series_drops_it(spark):
     )
     eal = spark.createDataFrame(
         [("2024-01-01", 1, 5, 5, 0, 0), ("2024-02-01", 1, 4, 2, 2, 0)],
-        "month string, entity long, mau long, fixed_mau long, flowing_mau long, ylg_mau long",
+        "month string, entity long, mau long, fixed_mau long, flowing_mau long, roaming_mau long",
     ).withColumn("month", F.col("month").cast("timestamp_ntz"))
     out = churn.entity_flow_net_churn(mi, mo, eal)
     got = {str(r["month"])[:10]: (r["net_flow"], r["churn_rate"]) for r in out.collect()}
@@ -165,7 +165,7 @@ def test_month_in_one_matrix_only_counts_zero_other_side(spark):
         "month", F.col("month").cast("timestamp_ntz")
     )
     layers = spark.createDataFrame(
-        [("2024-01-01", 3, 0, 3, 0), ("2024-03-01", 4, 0, 4, 0)], "month string, mau long, fixed_mau long, flowing_mau long, ylg_mau long"
+        [("2024-01-01", 3, 0, 3, 0), ("2024-03-01", 4, 0, 4, 0)], "month string, mau long, fixed_mau long, flowing_mau long, roaming_mau long"
     ).withColumn("month", F.col("month").cast("timestamp_ntz"))
     got = {str(r["month"])[:10]: r["net_flow"] for r in churn.flow_net_churn(mi, mo, layers).collect()}
     assert got == {"2024-01-01": 3, "2024-03-01": -2}
