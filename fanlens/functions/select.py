@@ -1,16 +1,49 @@
-"""Selection predicates (entity lists, optional predicate composition)."""
+"""Selections of entities and optional predicates.
+
+A selection is ``None`` (everything), a list of ids, or a frame with an
+``entity`` column.  Frames are joined (semi, anti or marked), so a selection of
+any size stays distributed; lists become ``IN`` predicates that reach the scan.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
 from functools import reduce
-from typing import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Selection = DataFrame | Sequence[int] | None
+
+
+def _ids(sel: DataFrame, col: str) -> DataFrame:
+    return sel.select(F.col("entity").alias(col)).distinct()
+
+
+def keep_selected(df: DataFrame, col: str, sel: Selection) -> DataFrame:
+    """Rows whose ``col`` is selected."""
+    if isinstance(sel, DataFrame):
+        return df.join(_ids(sel, col), col, "left_semi")
+    return df.filter(entity_filter(col, sel))
+
+
+def drop_selected(df: DataFrame, col: str, sel: Selection) -> DataFrame:
+    """Rows whose ``col`` is not selected."""
+    if isinstance(sel, DataFrame):
+        return df.join(_ids(sel, col), col, "left_anti")
+    return df.filter(~entity_filter(col, sel))
+
+
+def mark_selected(df: DataFrame, col: str, sel: Selection, flag: str) -> DataFrame:
+    """All rows, with a boolean ``flag`` for the selected ones."""
+    if isinstance(sel, DataFrame):
+        marked = _ids(sel, col).withColumn(flag, F.lit(True))
+        return df.join(marked, col, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return df.withColumn(flag, entity_filter(col, sel))
+
 
 def entity_filter(col, ids: Sequence[int] | None) -> Column:
-    """Membership in the selected ids; ``None`` means "no selection" (always true)."""
+    """Membership in a list of ids; ``None`` means "no selection" (always true)."""
     c = F.col(col) if isinstance(col, str) else col
     if ids is None:
         return F.lit(True)

@@ -1,9 +1,9 @@
 """Selection-scoped operators (the dashboard's query layer, A01-A43, A52-A53).
 
-A selection is a list of entity ids (``None`` = no selection = everything).
-Names are resolved against the entity dim; the resulting id list is bounded by
-the number of names given, so it is safe to inline as an ``isin`` predicate,
-which Catalyst pushes into the scans.
+A selection is a frame of entity ids, a list of them, or ``None`` (everything);
+names are resolved against the entity dim by a filter, and the relations are
+semi-joined with what it leaves, however many ids share a name.  Where the
+dashboard's default is "every entity of the dictionary", the dim is the selection.
 
 "Latest row" style readings are computed for all keys at once with windows or
 ``max_by`` instead of a driver-side ``tail(1)``; global top-k uses
@@ -17,7 +17,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanlens.functions.select import entity_filter
+from fanlens.functions.select import Selection, drop_selected, keep_selected, mark_selected
 from fanlens.functions.time import add_days, year_month
 from fanlens.params import MIN_CLUSTER_USERS, OTHERS, ROAMING, RFM_HIGH_VALUE, STAGES, TOP_N_RANGE, check_range
 
@@ -33,12 +33,9 @@ def select_entities(dim: DataFrame, names: Sequence[str] | None) -> DataFrame:
     return dim.filter(F.col("name").isin(list(names)))
 
 
-def resolve_ids(dim: DataFrame, names: Sequence[str] | None) -> list[int] | None:
-    """Names -> ids (None when nothing is selected).  Bounded by ``len(names)``."""
-    if not names:
-        return None
-    rows = dim.filter(F.col("name").isin(list(names))).select("entity").limit(len(names) * 4).collect()
-    return sorted({int(r["entity"]) for r in rows})
+def resolve_ids(dim: DataFrame, names: Sequence[str] | None) -> DataFrame:
+    """Selected names -> ids; nothing selected -> every id of the dictionary."""
+    return select_entities(dim, names).select("entity")
 
 
 def with_names(df: DataFrame, dim: DataFrame, key: str = "entity", default: str | None = ROAMING_NAME) -> DataFrame:
@@ -78,9 +75,9 @@ def layer_health(layers: DataFrame) -> DataFrame:
     return last.select("month", "mau", "fixed_mau", "flowing_mau", "roaming_mau", ratio.alias("fix_ratio"), band.alias("band"))
 
 
-def entity_layer_series(eal: DataFrame, entity: int) -> DataFrame:
+def entity_layer_series(eal: DataFrame, sel: Selection) -> DataFrame:
     """A04."""
-    return eal.filter(F.col("entity") == int(entity)).select("month", "mau", "fixed_mau", "flowing_mau", "roaming_mau")
+    return keep_selected(eal, "entity", sel).select("month", "mau", "fixed_mau", "flowing_mau", "roaming_mau")
 
 
 def entity_layer_health(eal: DataFrame) -> DataFrame:
@@ -156,10 +153,10 @@ def current_stage(stages: DataFrame) -> DataFrame:
 # --- interest association (A18-A19) ---------------------------------------------
 def association_totals(mi: DataFrame, mo: DataFrame, ids: Sequence[int], exclude_roaming: bool = False) -> DataFrame:
     """Sources into and targets out of the selection, summed per other entity."""
-    src = mi.filter(entity_filter("target", ids)).select(F.col("source").alias("entity"), "cnt")
-    tgt = mo.filter(entity_filter("source", ids)).select(F.col("target").alias("entity"), "cnt")
+    src = keep_selected(mi, "target", ids).select(F.col("source").alias("entity"), "cnt")
+    tgt = keep_selected(mo, "source", ids).select(F.col("target").alias("entity"), "cnt")
     tot = src.unionByName(tgt).groupBy("entity").agg(F.sum("cnt").alias("cnt"))
-    tot = tot.filter(~entity_filter("entity", ids))
+    tot = drop_selected(tot, "entity", ids)
     if exclude_roaming:
         tot = tot.filter(F.col("entity") != ROAMING)
     return tot
@@ -187,6 +184,8 @@ def cross_rate(assoc: DataFrame, k: int = 3) -> DataFrame:
     agg = assoc.agg(
         F.sum("cnt").alias("den"), F.sum(F.when(F.col("entity") != OTHERS, F.col("cnt")).otherwise(0)).alias("num")
     ).select(F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.lit(0.0)).alias("cross_rate"))
+    several = assoc.agg((F.count(F.lit(1)) > 1).alias("several"))  # one row alone is no rate
+    assoc = assoc.join(F.broadcast(several), F.col("several")).drop("several")
     top = assoc.filter(F.col("entity") != OTHERS).orderBy(F.col("cnt").desc(), F.col("entity")).limit(k)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cnt").desc(), F.col("entity"))).cast("bigint"))
     return top.crossJoin(agg).select(
@@ -198,9 +197,9 @@ def cross_rate(assoc: DataFrame, k: int = 3) -> DataFrame:
 # --- event types (A20-A22) ------------------------------------------------------
 def selected_daily_type(edt: DataFrame, ids: Sequence[int] | None) -> DataFrame:
     """Per day sums of the selected entities (days without them stay with 0)."""
-    sel = entity_filter("entity", ids)
-    return edt.groupBy("day").agg(
-        *[F.sum(F.when(sel, F.col(c)).otherwise(0)).alias(c) for c in ("weak", "strong", "total")]
+    marked = mark_selected(edt, "entity", ids, "picked")
+    return marked.groupBy("day").agg(
+        *[F.sum(F.when(F.col("picked"), F.col(c)).otherwise(0)).alias(c) for c in ("weak", "strong", "total")]
     )
 
 
@@ -234,12 +233,13 @@ def weak_share(long: DataFrame, days: int = 7) -> DataFrame:
 # --- monthly trend & flow matrices (A23-A28) ------------------------------------
 def monthly_trend(mi: DataFrame, ids: Sequence[int], mo: DataFrame | None = None) -> DataFrame:
     """new = inflow to the selection; lost = from the inflow matrix (literal) or ``mo``."""
-    new = F.sum(F.when(entity_filter("target", ids), F.col("cnt")).otherwise(0))
-    lost = F.sum(F.when(entity_filter("source", ids), F.col("cnt")).otherwise(0))
+    new = F.sum(F.when(F.col("into"), F.col("cnt")).otherwise(0))
+    lost = F.sum(F.when(F.col("out_of"), F.col("cnt")).otherwise(0))
+    mi = mark_selected(mi, "target", ids, "into")
     if mo is None:
-        return mi.groupBy("month").agg(new.alias("new_users"), lost.alias("lost_users"))
+        return mark_selected(mi, "source", ids, "out_of").groupBy("month").agg(new.alias("new_users"), lost.alias("lost_users"))
     a = mi.groupBy("month").agg(new.alias("new_users"))
-    b = mo.groupBy("month").agg(lost.alias("lost_users"))
+    b = mark_selected(mo, "source", ids, "out_of").groupBy("month").agg(lost.alias("lost_users"))
     return a.join(b, "month", "full").select(
         "month",
         F.coalesce("new_users", F.lit(0).cast("bigint")).alias("new_users"),
@@ -256,12 +256,12 @@ def net_inflow(trend: DataFrame) -> DataFrame:
 
 def selected_sources(mi: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Month, source -> users flowing into the selection."""
-    return mi.filter(entity_filter("target", ids)).groupBy("month", "source").agg(F.sum("cnt").alias("cnt"))
+    return keep_selected(mi, "target", ids).groupBy("month", "source").agg(F.sum("cnt").alias("cnt"))
 
 
 def selected_targets(mo: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Month, target -> users flowing out of the selection."""
-    return mo.filter(entity_filter("source", ids)).groupBy("month", "target").agg(F.sum("cnt").alias("cnt"))
+    return keep_selected(mo, "source", ids).groupBy("month", "target").agg(F.sum("cnt").alias("cnt"))
 
 
 def named_flows(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
@@ -271,23 +271,24 @@ def named_flows(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     )
 
 
-def flow_pivot(named: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def flow_pivot(named: DataFrame, names: Sequence[str]) -> DataFrame:
     """Month x name matrix of the mean count, 0-filled, integer.
 
-    ``names`` (the pivot columns) defaults to the distinct names present."""
-    g = named.groupBy("month")
-    p = g.pivot("name", sorted(names)) if names is not None else g.pivot("name")
-    wide = p.agg(F.avg("cnt"))
-    cols = [c for c in wide.columns if c != "month"]
-    return wide.select("month", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).cast("bigint").alias(c) for c in cols])
+    ``names`` are the columns, so the schema is fixed and no job looks for them; a
+    conditional mean for each has no limit on their number."""
+    cell = lambda c: F.avg(F.when(F.col("name") == c, F.col("cnt")))
+    return named.groupBy("month").agg(*[F.coalesce(cell(c), F.lit(0.0)).cast("bigint").alias(c) for c in names])
 
 
 def top_flow_partner(src_named: DataFrame, tgt_named: DataFrame) -> DataFrame:
-    """In each direction's latest month, the name with the largest count (ties -> first name)."""
+    """In each direction's latest month, the name with the largest count (ties -> first name).
+
+    A direction with fewer than two named partners is not charted: no row for it."""
 
     def best(df: DataFrame, direction: str) -> DataFrame:
         cell = df.groupBy("month", "name").agg(F.avg("cnt").alias("cnt"))
-        last = _latest(cell, "month")
+        several = cell.agg((F.min("name") != F.max("name")).alias("several"))  # one row
+        last = _latest(cell, "month").join(F.broadcast(several), F.col("several"))
         return last.orderBy(F.col("cnt").desc(), F.col("name")).limit(1).select(
             F.lit(direction).alias("direction"), "month", "name", F.col("cnt").cast("bigint").alias("cnt")
         )
@@ -298,11 +299,11 @@ def top_flow_partner(src_named: DataFrame, tgt_named: DataFrame) -> DataFrame:
 # --- AARRR readings (A30-A33) ---------------------------------------------------
 def available_months(df: DataFrame, ids: Sequence[int] | None, col: str = "month") -> DataFrame:
     """Distinct months of the selection as ``yyyy-MM``."""
-    return df.filter(entity_filter("entity", ids)).select(year_month(col).alias(col)).distinct().orderBy(col)
+    return keep_selected(df, "entity", ids).select(year_month(col).alias(col)).distinct().orderBy(col)
 
 
 def _pick_month(df: DataFrame, ids, col: str, latest: bool) -> DataFrame:
-    sel = df.filter(entity_filter("entity", ids))
+    sel = keep_selected(df, "entity", ids)
     pick = sel.agg((F.max(col) if latest else F.min(col)).alias("_m"))
     return sel.join(F.broadcast(pick), F.col(col) == F.col("_m")).drop("_m")
 
@@ -315,7 +316,7 @@ def funnel_totals(aarrr: DataFrame, ids: Sequence[int] | None, month: str | None
     if month is None:
         sel = _pick_month(aarrr, ids, "month", latest=False)
     else:
-        sel = aarrr.filter(entity_filter("entity", ids) & (F.col("month") == F.lit(month).cast("timestamp_ntz")))
+        sel = keep_selected(aarrr.filter(F.col("month") == F.lit(month).cast("timestamp_ntz")), "entity", ids)
     return sel.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in FUNNEL_COLS])
 
 
@@ -344,7 +345,7 @@ def layer_funnel_totals(lf: DataFrame, ids: Sequence[int] | None, month: str | N
     if month is None:
         sel = _pick_month(lf, ids, "cohort_month", latest=True)
     else:
-        sel = lf.filter(entity_filter("entity", ids) & (F.col("cohort_month") == F.lit(month).cast("timestamp_ntz")))
+        sel = keep_selected(lf.filter(F.col("cohort_month") == F.lit(month).cast("timestamp_ntz")), "entity", ids)
     agg = sel.groupBy("stage_ord", "stage").agg(F.sum("users").alias("users"))
     first = F.first("users").over(Window.orderBy("stage_ord"))
     return agg.select("stage_ord", "stage", "users", (F.col("users") / first).alias("pct"))
@@ -367,7 +368,7 @@ def layer_conversion(tot: DataFrame) -> DataFrame:
 def churn_series(efnc: DataFrame, ids: Sequence[int] | None) -> DataFrame:
     """Per month sum of net flow and unweighted mean churn rate (non-null only)."""
     return (
-        efnc.filter(entity_filter("entity", ids))
+        keep_selected(efnc, "entity", ids)
         .groupBy("month")
         .agg(F.sum("net_flow").alias("net_flow"), F.round(F.avg("churn_rate"), 9).alias("churn_rate"))
         .filter(F.col("churn_rate").isNotNull())
@@ -405,7 +406,7 @@ def mean_retention(curve: DataFrame, age: int = 1) -> DataFrame:
 # --- RFM readings (A41-A43, A52-A53) --------------------------------------------
 def rfm_segments(rfm: DataFrame, ids: Sequence[int] | None) -> DataFrame:
     """A41."""
-    return rfm.filter(entity_filter("entity", ids)).groupBy("rfm_code", "rfm_tag").agg(F.count(F.lit(1)).alias("cnt"))
+    return keep_selected(rfm, "entity", ids).groupBy("rfm_code", "rfm_tag").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def rfm_histograms(seg: DataFrame) -> DataFrame:
@@ -434,7 +435,7 @@ def high_value_share(seg: DataFrame) -> DataFrame:
 
 def rfm_contribution_series(rdc: DataFrame, ids: Sequence[int] | None) -> DataFrame:
     """Per (day, tag) summed event share of the selected entities."""
-    return rdc.filter(entity_filter("entity", ids)).groupBy("day", "rfm_tag").agg(F.round(F.sum("evt_ratio"), 9).alias("evt_ratio"))
+    return keep_selected(rdc, "entity", ids).groupBy("day", "rfm_tag").agg(F.round(F.sum("evt_ratio"), 9).alias("evt_ratio"))
 
 
 def rfm_contribution_shares(series: DataFrame) -> DataFrame:
@@ -461,12 +462,8 @@ def distinct_users(ia: DataFrame) -> DataFrame:
 
 def cluster_events(ia: DataFrame, ids: Sequence[int] | None = None, exclude_roaming: bool = True) -> DataFrame:
     """(uid, entity) rows with optional selection and sentinel exclusion."""
-    conds = [entity_filter("entity", ids)]
-    if exclude_roaming:
-        conds.append(F.col("entity") != ROAMING)
-    from fanlens.functions.select import all_of
-
-    return ia.filter(all_of(conds)).select("uid", "entity")
+    ev = ia.filter(F.col("entity") != ROAMING) if exclude_roaming else ia
+    return keep_selected(ev, "entity", ids).select("uid", "entity")
 
 
 def top_active_users(ev: DataFrame, n: int = 3000) -> DataFrame:
@@ -475,6 +472,6 @@ def top_active_users(ev: DataFrame, n: int = 3000) -> DataFrame:
     The top-n list is a distributed top-k bounded by n, then a semi-join."""
     check_range("max_users", n, MIN_CLUSTER_USERS)
     top = ev.groupBy("uid").agg(F.count(F.lit(1)).alias("events")).orderBy(F.col("events").desc(), F.col("uid")).limit(n)
-    return ev.join(F.broadcast(top.select("uid")), "uid", "left_semi")
+    return ev.join(top.select("uid"), "uid", "left_semi")
 
 
