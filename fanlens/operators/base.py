@@ -64,8 +64,3 @@ def pairs(pm: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("month_cnt"),
         F.sum("n").alias("n"),
     )
-
-
-def max_ts(pd_: DataFrame) -> DataFrame:
-    """One-row frame with the latest event time (``ref_ts``)."""
-    return pd_.agg(F.max("last_ts").alias("ref_ts"))

@@ -25,6 +25,7 @@ FIT_SCHEMA = T.StructType(
         T.StructField("K", T.DoubleType()),
         T.StructField("r", T.DoubleType()),
         T.StructField("t0", T.DoubleType()),
+        T.StructField("converged", T.BooleanType()),
     ]
 )
 
@@ -39,8 +40,11 @@ def _model(t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f, jac
 
 
-def fit_logistic_lm(t: np.ndarray, y: np.ndarray, p0, max_evals: int = 5000, tol: float = 1e-10):
-    """Levenberg-Marquardt; returns (K, r, t0) or None when it does not converge."""
+def fit_logistic_lm(t: np.ndarray, y: np.ndarray, p0, max_evals: int = 5000, tol: float = 1.49e-8):
+    """Levenberg-Marquardt: ((K, r, t0), converged).
+
+    Converged: a step changed the squared error, or every parameter, by no more than
+    ``tol`` of itself.  A fit that stalls or runs out of evaluations keeps its best point."""
     p = np.asarray(p0, dtype=float)
     f, jac = _model(t, p)
     res = y - f
@@ -55,7 +59,7 @@ def fit_logistic_lm(t: np.ndarray, y: np.ndarray, p0, max_evals: int = 5000, tol
             try:
                 delta = np.linalg.solve(a + lam * np.diag(np.maximum(np.diag(a), 1e-12)), g)
             except np.linalg.LinAlgError:
-                return None
+                return tuple(float(v) for v in p), False
             cand = p + delta
             f2, jac2 = _model(t, cand)
             evals += 1
@@ -68,30 +72,28 @@ def fit_logistic_lm(t: np.ndarray, y: np.ndarray, p0, max_evals: int = 5000, tol
                 lam = max(lam / 10.0, 1e-12)
                 step_ok = True
                 if rel < tol or small or sse == 0.0:
-                    return tuple(float(v) for v in p)
+                    return tuple(float(v) for v in p), True
                 break
             lam *= 10.0
-            if lam > 1e16:
-                return tuple(float(v) for v in p) if np.all(np.isfinite(p)) else None
+            if lam > 1e16:  # no downhill step is left
+                return tuple(float(v) for v in p), bool(np.max(np.abs(g)) <= tol * max(sse, 1.0))
         if not step_ok:
             break
-    return None
+    return tuple(float(v) for v in p), False
 
 
 def logistic_fit(seq: DataFrame, p: Params = Params()) -> DataFrame:
-    """A10: (entity, K, r, t0) for entities with >= min_points observed months."""
-    min_points, r0, max_evals = p.growth_min_points, p.fit_r_init, p.fit_max_evals
+    """A10: (entity, K, r, t0, converged) for entities with >= min_points observed months."""
+    min_points, r0, max_evals, tol = p.growth_min_points, p.fit_r_init, p.fit_max_evals, p.fit_tolerance
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         t = pdf["seq"].to_numpy(dtype=float)
         y = pdf["mau"].to_numpy(dtype=float)
         if len(t) < min_points:
-            return pd.DataFrame(columns=["entity", "K", "r", "t0"])
-        got = fit_logistic_lm(t, y, (y.max() * 1.2, r0, len(t) / 2.0), max_evals)
-        if got is None:
-            return pd.DataFrame(columns=["entity", "K", "r", "t0"])
-        return pd.DataFrame([{"entity": int(pdf["entity"].iloc[0]), "K": got[0], "r": got[1], "t0": got[2]}])
+            return pd.DataFrame(columns=["entity", "K", "r", "t0", "converged"])
+        (k, r, t0), done = fit_logistic_lm(t, y, (y.max() * 1.2, r0, len(t) / 2.0), max_evals, tol)
+        return pd.DataFrame([{"entity": int(pdf["entity"].iloc[0]), "K": k, "r": r, "t0": t0, "converged": done}])
 
     return seq.select("entity", "seq", "mau").groupBy("entity").applyInPandas(fit, FIT_SCHEMA)
 

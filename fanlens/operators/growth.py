@@ -20,6 +20,14 @@ def growth_sequence(eal: DataFrame) -> DataFrame:
     return eal.select("entity", "month", "mau", seq.cast("bigint").alias("seq"))
 
 
+def cumulative_acquisitions(acq: DataFrame) -> DataFrame:
+    """Users met so far by month, as a growth sequence: a series that only grows towards a ceiling."""
+    w = Window.partitionBy("entity").orderBy("month")
+    return acq.select(
+        "entity", "month", F.sum("acq").over(w).alias("mau"), (F.row_number().over(w) - 1).cast("bigint").alias("seq")
+    )
+
+
 def growth_params_init(seq: DataFrame, p: Params = Params()) -> DataFrame:
     """Per entity with >= min_points months of mau > 0."""
     return (

@@ -5,20 +5,25 @@ Parquet file.  Here replies are *landed files* (one JSON line per user:
 ``{"uid": .., "body": "{\\"data\\": [{\\"lastLiveDate\\": ms, \\"uId\\": id}]}"}``),
 parsed with ``from_json`` + ``explode``, and new rows are *appended* to a
 ``month``-partitioned log after a left-anti join on (uid, ts, entity) — never a
-read-and-overwrite of the same path.
+read-and-overwrite of the same path.  The batch's months, a short list, are a
+literal filter on the log, so an append reads only the partitions it can touch.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fanlens.functions.time import epoch_millis, month_start, to_event_time
 from fanlens.sources.interactions import INTERACTION_SCHEMA, conform
+from fanlens.sources.sinks import path_missing
 
 KEYS = ["uid", "ts", "entity"]
+LOG_SCHEMA = T.StructType([*INTERACTION_SCHEMA.fields, T.StructField("month", T.TimestampNTZType())])
 
+# the feed's wire format (fixed values)
 FEED_ITEM = T.StructType([T.StructField("lastLiveDate", T.LongType()), T.StructField("uId", T.LongType())])
 FEED_BODY = T.StructType([T.StructField("data", T.ArrayType(FEED_ITEM))])
 FEED_SCHEMA = T.StructType([T.StructField("uid", T.LongType()), T.StructField("body", T.StringType())])
@@ -35,19 +40,19 @@ def parse_feed(landed: DataFrame) -> DataFrame:
 
 
 def render_feed(ia: DataFrame) -> DataFrame:
-    """Replies as the feed would send them: per user, the last time per watched entity.
-
-    One reply per user holds one item per entity (bounded by the entity count)."""
-    last = ia.groupBy("uid", "entity").agg(F.max("ts").alias("ts"))
+    """Replies as the feed would send them: every event an item, a reply for each user and hour."""
     item = F.struct(epoch_millis("ts").alias("lastLiveDate"), F.col("entity").alias("uId"))
-    return last.groupBy("uid").agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("body"))
+    replies = ia.groupBy("uid", F.date_trunc("hour", "ts").alias("hour"))
+    return replies.agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("body")).select("uid", "body")
 
 
 def new_rows(log: DataFrame, batch: DataFrame, dedup: bool = False) -> DataFrame:
     """Rows of ``batch`` whose (uid, ts, entity) is not in ``log`` (null-safe)."""
-    b = batch.dropDuplicates(KEYS) if dedup else batch
-    cond = [b[k].eqNullSafe(log[k]) for k in KEYS]
-    return b.join(log.select(*KEYS), cond, "left_anti")
+    b = (batch.dropDuplicates(KEYS) if dedup else batch).withColumn("month", month_start("ts"))
+    months = [r["month"] for r in b.select("month").distinct().collect()]  # calendar months of one batch
+    keys = [*KEYS, "month"]
+    near = log.select(*keys).filter(F.col("month").isin([m for m in months if m is not None]) | (F.col("month").isNull() if None in months else F.lit(False)))
+    return b.join(near, [b[k].eqNullSafe(near[k]) for k in keys], "left_anti")
 
 
 def incremental_append(spark: SparkSession, log_path: str, batch: DataFrame, dedup: bool = False) -> int:
@@ -55,14 +60,16 @@ def incremental_append(spark: SparkSession, log_path: str, batch: DataFrame, ded
 
     An empty batch is a no-op."""
     try:
-        log = spark.read.schema(INTERACTION_SCHEMA).parquet(log_path)
-    except Exception:  # noqa: BLE001 - first write: no log yet
-        log = spark.createDataFrame([], INTERACTION_SCHEMA)
+        log = spark.read.schema(LOG_SCHEMA).parquet(log_path)
+    except AnalysisException as e:
+        if not path_missing(e):
+            raise
+        log = spark.createDataFrame([], LOG_SCHEMA)  # first write
     fresh = new_rows(log, conform(batch), dedup).persist()
     try:
         n = fresh.count()
         if n:
-            fresh.withColumn("month", month_start("ts")).write.mode("append").partitionBy("month").parquet(log_path)
+            fresh.write.mode("append").partitionBy("month").parquet(log_path)
         return n
     finally:
         fresh.unpersist()

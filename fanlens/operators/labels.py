@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fanlens.functions.joins import join_per_entity
 from fanlens.functions.time import day_diff
 from fanlens.params import FIXED, FLOWING, ROAMING, Params
 
@@ -39,7 +40,7 @@ def entity_threshold(stats: DataFrame, p: Params = Params()) -> DataFrame:
 def pair_label(stats: DataFrame, thr: DataFrame) -> DataFrame:
     """FIXED if active in at least the median number of months and recent enough."""
     fixed = (F.col("month_cnt") >= F.col("month_med")) & (F.col("recency_days") <= F.col("recency_75"))
-    return stats.join(thr, "entity").select(
+    return join_per_entity(stats, thr).select(
         "uid", "entity", F.when(fixed, F.lit(FIXED)).otherwise(F.lit(FLOWING)).alias("label")
     )
 

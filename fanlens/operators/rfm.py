@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanlens.functions.joins import join_per_entity
 from fanlens.functions.time import add_days, day_diff, month_start
 from fanlens.params import (
     RFM_CHURN_RISK,
@@ -65,7 +66,7 @@ def rfm_score(base: DataFrame, qt: DataFrame, intended: bool = False) -> DataFra
         r = F.when(rd <= F.col("r20"), 5).when(rd <= F.col("r80"), 3).otherwise(1)
     else:
         r = F.when(rd <= F.col("r80"), 5).when(rd <= F.col("r20"), 3).otherwise(1)
-    return base.join(qt, "entity").select(
+    return join_per_entity(base, qt).select(
         "uid",
         "entity",
         "recent_days",

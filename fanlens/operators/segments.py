@@ -1,84 +1,92 @@
 """User clustering on the uid x entity incidence matrix.
 
-The clustered population is the ``max_users`` most active users (a top-k that
-is the feature, bounded by ``max_users``); their incidence rows are built with
-``collect_set`` per user (bounded by the number of entities) and turned into
-vectors with built-in functions.  K-means and PCA are ``pyspark.ml``.
+The matrix is kept as its cells, one row a (uid, entity); only K-means gets
+vectors, sparse ones.  The number of users is the caller's choice
+(``selection.top_active_users``); nothing here has a limit of its own, and no
+n x n matrix, dense row or single-task index is built.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanlens.params import CLUSTER_K_RANGE, check_range
-
-
-def entity_index(ev: DataFrame) -> DataFrame:
-    """Dense 0-based column index of every entity present (sorted by id)."""
-    ents = ev.select("entity").distinct()
-    return ents.withColumn("idx", (F.row_number().over(Window.orderBy("entity")) - 1).cast("int"))
-
-
-DENSE_MAX_COLS = 1024
-
+from fanlens.params import CLUSTER_K_RANGE, Params, check_range
+from fanlens.session import ensure_checkpoint_dir
 
-def _sparse_rows(n_cols: int):
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    @F.udf(VectorUDT())
-    def to_sparse(idxs):
-        ids = sorted(idxs)
-        return SparseVector(n_cols, ids, [1.0] * len(ids))
+def incidence_cells(ev: DataFrame) -> DataFrame:
+    """The ones of the matrix: distinct (uid, entity)."""
+    return ev.select("uid", "entity").distinct()
 
-    return to_sparse
 
+def entity_index(cells: DataFrame) -> DataFrame:
+    """Dense 0-based column of every entity present, in id order: ranks from the sorted partitions' sizes."""
+    ranked = cells.select("entity").distinct().orderBy("entity").rdd.zipWithIndex()
+    return ranked.map(lambda x: (x[0][0], x[1])).toDF("entity long, idx long").select("entity", F.col("idx").cast("int").alias("idx"))
 
-def incidence_vectors(ev: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(uid, features) binary rows, the entity index and the column count.
 
-    Dense vectors from built-in array functions while the entity count is
-    small; sparse vectors (a small per-row helper over the ``max_users`` rows)
-    beyond ``DENSE_MAX_COLS`` so a row never grows with the entity count."""
-    idx = entity_index(ev)
-    n_cols = idx.count()  # bounded by the entities of the clustered users
-    cells = ev.select("uid", "entity").distinct().join(idx, "entity")
-    rows = cells.groupBy("uid").agg(F.collect_set("idx").alias("idxs"))
-    if n_cols > DENSE_MAX_COLS:
-        return rows.select("uid", _sparse_rows(n_cols)("idxs").alias("features")), idx, n_cols
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(max(n_cols, 1) - 1)),
-        lambda i: F.when(F.array_contains(F.col("idxs"), i), F.lit(1.0)).otherwise(F.lit(0.0)),
-    )
-    return rows.select("uid", array_to_vector(dense).alias("features")), idx, n_cols
+def incidence_vectors(cells: DataFrame, index: DataFrame) -> tuple[DataFrame, int]:
+    """(uid, features) sparse binary rows and the number of columns."""
+    n = index.count()
+    to_row = F.udf(lambda ids: SparseVector(n, sorted(ids), [1.0] * len(ids)), VectorUDT())
+    rows = cells.join(index, "entity").groupBy("uid").agg(F.collect_list("idx").alias("ids"))
+    return rows.select("uid", to_row("ids").alias("features")), n
 
 
-def kmeans_segments(vec: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """(uid, cluster, features)."""
+def kmeans_segments(vec: DataFrame, k: int = 4, seed: int = 42, max_iter: int = Params.cluster_max_iter) -> DataFrame:
+    """(uid, cluster)."""
     check_range("k", k, *CLUSTER_K_RANGE)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
-    return model.transform(vec).select("uid", "cluster", "features")
-
-
-def pca_2d(vec: DataFrame) -> DataFrame:
-    """First two principal components of the centred matrix -> (uid, x, y)."""
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(vec).transform(vec)
-    proj = PCA(k=2, inputCol="centred", outputCol="pc").fit(centred).transform(centred)
-    arr = vector_to_array("pc")
-    return proj.select("uid", arr[0].alias("x"), arr[1].alias("y"))
-
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vec)
+    return model.transform(vec).select("uid", F.col("cluster").cast("long").alias("cluster"))
+
+
+def pca_2d(cells: DataFrame, iterations: int = 15) -> DataFrame:
+    """First two principal components of the centred matrix -> (uid, x, y).
+
+    Orthogonal iteration on the cells: a user's score is the sum of its entities'
+    loadings less the mean score, a loading the sum of its users' scores; the mean
+    is subtracted as a number, so zeros stay absent.  The driver sees five sums a
+    round.  Each component's largest loading is positive."""
+    ensure_checkpoint_dir(cells.sparkSession)
+    cells = cells.persist()
+    users = cells.select("uid").distinct().count()
+    load = cells.select("entity").distinct().select(
+        "entity", *[(F.pmod(F.xxhash64("entity", F.lit(s)), F.lit(1 << 20)) / (1 << 20) - 0.5).alias(c) for s, c in ((1, "a"), (2, "b"))]
+    )
 
-def cluster_profile(seg: DataFrame, idx: DataFrame, top: int = 5) -> DataFrame:
-    """Per cluster the ``top`` entities by mean incidence (ties -> smaller id)."""
+    def scores(load: DataFrame) -> DataFrame:
+        raw = cells.join(load, "entity").groupBy("uid").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).persist()
+        m = raw.agg(F.sum("a"), F.sum("b")).first()
+        a, b = (m[0] or 0.0) / max(users, 1), (m[1] or 0.0) / max(users, 1)
+        return raw.select("uid", (F.col("a") - a).alias("a"), (F.col("b") - b).alias("b"))
+
+    for _ in range(iterations):
+        new = cells.join(scores(load), "uid").groupBy("entity").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        new = new.checkpoint()
+        aa, ab, bb = new.agg(F.sum(F.col("a") ** 2), F.sum(F.col("a") * F.col("b")), F.sum(F.col("b") ** 2)).first()
+        if not aa:
+            break
+        share = ab / aa  # the second loading without its part along the first
+        rest = math.sqrt(max(bb - ab * share, 0.0)) or 1.0
+        load = new.select("entity", (F.col("a") / math.sqrt(aa)).alias("a"), ((F.col("b") - F.col("a") * share) / rest).alias("b"))
+    sign = load.agg(*[F.signum(F.max_by(c, F.struct(F.abs(F.col(c)), -F.col("entity")))) for c in ("a", "b")]).first()
+    return scores(load).select("uid", (F.col("a") * (sign[0] or 1.0)).alias("x"), (F.col("b") * (sign[1] or 1.0)).alias("y"))
+
+
+def cluster_profile(seg: DataFrame, cells: DataFrame, top: int = 5) -> DataFrame:
+    """Per cluster the ``top`` entities by mean incidence (ties -> smaller id), means of zero included."""
     size = seg.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    cells = seg.select("uid", "cluster", F.posexplode(vector_to_array("features")).alias("idx", "v")).filter("v > 0")
-    counts = cells.groupBy("cluster", "idx").agg(F.count(F.lit(1)).alias("users"))
-    mean = counts.join(size, "cluster").join(idx, "idx").select(
-        "cluster", "entity", (F.col("users") / F.col("size")).alias("mean")
-    )
+    held = cells.join(seg.select("uid", "cluster"), "uid").groupBy("cluster", "entity").agg(F.count(F.lit(1)).alias("users"))
+    # a cluster of fewer than ``top`` entities is filled up with the smallest ids it does not hold
+    least = cells.select("entity").distinct().orderBy("entity").limit(2 * top).agg(F.collect_list("entity").alias("ids"))  # one row
+    blank = size.select("cluster").join(F.broadcast(least)).select("cluster", F.explode("ids").alias("entity"), F.lit(0).cast("long").alias("users"))
+    every = held.unionByName(blank).groupBy("cluster", "entity").agg(F.max("users").alias("users"))
+    mean = every.join(size, "cluster").select("cluster", "entity", (F.col("users") / F.col("size")).alias("mean"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("mean").desc(), F.col("entity")))
     return mean.withColumn("rank", rank).filter(F.col("rank") <= top)
 

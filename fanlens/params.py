@@ -67,9 +67,10 @@ class Params:
     growth_t0_factor: float = 0.5
     fit_r_init: float = 0.3
     fit_max_evals: int = 5000
+    fit_tolerance: float = 1.49e-8
     curve_points: int = 100
     assoc_top_n: int = 8
-    cluster_max_users: int = 3000
+    cluster_max_users: int | None = None  # all; the interactive control offers a top-n
+    cluster_max_iter: int = 300
     cluster_k: int = 4
     cluster_seed: int = 42
-    cohort_max_age: int = 3

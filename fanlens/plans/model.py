@@ -29,18 +29,15 @@ class AudienceModel:
         params: Params = Params(),
         dim: DataFrame | None = None,
         persist: bool = True,
-        derived_log: bool = False,
         durable: bool = False,
     ):
-        """``derived_log``: the log itself is computed (a fixture join), so keep it too.
-
-        ``durable``: write the shared ``pair_days`` as a reliable checkpoint into the
+        """``durable``: write the shared ``pair_days`` as a reliable checkpoint into the
         shared ``spark.checkpoint.dir`` (cuts the lineage to the raw log, so a lost
         executor never re-scans the log); recommended on clusters."""
         self._durable = durable
         self._persist = persist or durable
         self._held: list[DataFrame] = []
-        self.ia = self._keep(ia) if derived_log else ia
+        self.ia = ia  # never held: the shared relation is pair_days
         self.p = params
         self.dim = dim
 
@@ -106,7 +103,7 @@ class AudienceModel:
 
     @cached_property
     def entity_threshold(self) -> DataFrame:
-        return labels.entity_threshold(self.pair_stats, self.p)
+        return self._keep(labels.entity_threshold(self.pair_stats, self.p))
 
     @cached_property
     def pair_label(self) -> DataFrame:
@@ -166,7 +163,7 @@ class AudienceModel:
 
     @cached_property
     def rfm_thresholds(self) -> DataFrame:
-        return rfm.rfm_thresholds(self.rfm_base, self.p)
+        return self._keep(rfm.rfm_thresholds(self.rfm_base, self.p))
 
     @cached_property
     def rfm_score(self) -> DataFrame:
@@ -252,7 +249,7 @@ def model_for(spark: SparkSession, sf_dir: str, fixture: str = "f1", params: Par
         m = _MODELS.get(key)
         if m is None:
             ia = FIXTURES[fixture](spark, sf_dir)
-            m = AudienceModel(ia, params, dim=dims.nation_entities(spark, sf_dir), derived_log=fixture != "f3")
+            m = AudienceModel(ia, params, dim=dims.nation_entities(spark, sf_dir))
             _MODELS[key] = m
         return m
 

@@ -13,12 +13,13 @@ ENTITY_SCHEMA = T.StructType([T.StructField("entity", T.LongType()), T.StructFie
 SEGMENT_SCHEMA = T.StructType([T.StructField("label", T.LongType()), T.StructField("name", T.StringType())])
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+def upsert(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
     """I09 ``INSERT OR REPLACE``: rows of ``updates`` replace rows of ``base`` by key.
 
-    Within ``updates`` the last row per key wins (input order = position)."""
+    ``order``: a column of ``updates`` (not of ``base``) that says which of several
+    rows of a key came last; that row wins."""
     tagged = base.withColumn("_src", F.lit(0)).withColumn("_pos", F.lit(0).cast("bigint")).unionByName(
-        updates.withColumn("_src", F.lit(1)).withColumn("_pos", F.monotonically_increasing_id())
+        updates.withColumn("_src", F.lit(1)).withColumn("_pos", F.col(order).cast("bigint")).drop(order)
     )
     w = Window.partitionBy(key).orderBy(F.col("_src").desc(), F.col("_pos").desc())
     return tagged.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_src", "_pos", "_rn")
@@ -26,20 +27,25 @@ def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 def entity_dim_from_rows(spark: SparkSession, rows) -> DataFrame:
     """I08 VALUES source + PK upsert into an empty dim."""
-    empty = spark.createDataFrame([], ENTITY_SCHEMA)
-    return upsert(empty, spark.createDataFrame(list(rows), ENTITY_SCHEMA), "entity")
+    return _from_values(spark, rows, ENTITY_SCHEMA, "entity")
+
+
+def _from_values(spark: SparkSession, rows, schema: T.StructType, key: str) -> DataFrame:
+    numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], T.StructType([*schema.fields, T.StructField("pos", T.LongType())]))
+    return upsert(spark.createDataFrame([], schema), numbered, key, "pos")
 
 
 def nation_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity = n_nationkey + 1, name = n_name."""
-    return table(spark, sf_dir, "nation").select(
-        (F.col("n_nationkey") + 1).cast("bigint").alias("entity"), F.col("n_name").alias("name")
+    rows = table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 1).cast("bigint").alias("entity"), F.col("n_name").alias("name"), "n_nationkey"
     )
+    return upsert(spark.createDataFrame([], ENTITY_SCHEMA), rows, "entity", "n_nationkey")
 
 
 def segment_dim(spark: SparkSession) -> DataFrame:
     """Label -> segment name."""
-    return spark.createDataFrame([(k, v) for k, v in sorted(SEGMENT_NAMES.items())], SEGMENT_SCHEMA)
+    return _from_values(spark, sorted(SEGMENT_NAMES.items()), SEGMENT_SCHEMA, "label")
 
 
 def assert_unique(df: DataFrame, key: str) -> None:

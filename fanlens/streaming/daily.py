@@ -1,8 +1,9 @@
 """Daily weak / strong / total event counts as a streaming aggregation.
 
 Event time is the UTC instant of the log's wall clock, so 1-day tumbling
-windows are calendar days.  The aggregation runs in ``update`` mode with a
-watermark (late events within ``lateness`` still update their day); each
+windows are calendar days.  The aggregation runs in ``update`` mode without a
+watermark: its state is one row a calendar day, so a day of any age can still be
+updated and a backfill equals the batch.  Each
 micro-batch's updated rows are appended with their batch id and readers take
 the latest version per day — an upsert on append-only storage.
 """
@@ -16,9 +17,9 @@ from fanlens.functions.time import as_utc_instant, utc_wallclock
 from fanlens.params import ROAMING
 
 
-def daily_type_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame:
+def daily_type_stream(rows: DataFrame) -> DataFrame:
     """Streaming (or batch) frame of (day, weak, strong, total) updates."""
-    et = rows.withColumn("event_time", as_utc_instant("ts")).withWatermark("event_time", lateness)
+    et = rows.withColumn("event_time", as_utc_instant("ts"))
     e = F.col("entity")
     return et.groupBy(F.window("event_time", "1 day").alias("w")).agg(
         F.sum(F.when(e == ROAMING, 1).otherwise(0)).cast("bigint").alias("weak"),

@@ -1,5 +1,7 @@
 """Curve fit on planted series; clustering structure; streaming = batch; ingestion idempotence."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,8 +15,25 @@ def test_lm_recovers_planted_logistic():
     t = np.arange(30, dtype=float)
     y = 500.0 / (1 + np.exp(-0.4 * (t - 12.0)))
     got = curvefit.fit_logistic_lm(t, y, (y.max() * 1.2, 0.3, len(t) / 2))
-    assert got is not None
-    assert np.allclose(got, (500.0, 0.4, 12.0), rtol=1e-4)
+    assert got[1] and np.allclose(got[0], (500.0, 0.4, 12.0), rtol=1e-4)
+
+
+def test_fit_is_stable_over_tolerances_and_keeps_every_entity(spark):
+    from fanlens.operators import growth
+    from fanlens.plans.model import model_for
+
+    m = model_for(spark, SF_MID)
+    seq = growth.cumulative_acquisitions(m.acquisition)
+    fit = curvefit.logistic_fit(seq).collect()
+    assert len(fit) == 25 and all(r["converged"] for r in fit)
+    pdf = seq.toPandas()
+    for r in fit:
+        own = pdf[pdf["entity"] == r["entity"]].sort_values("seq")
+        t, y = own["seq"].to_numpy(float), own["mau"].to_numpy(float)
+        for tol in (1e-6, 1e-10):
+            p, _ = curvefit.fit_logistic_lm(t, y, (y.max() * 1.2, 0.3, len(t) / 2.0), tol=tol)
+            assert np.allclose(p, (r["K"], r["r"], r["t0"]), rtol=1e-2)
+    assert curvefit.logistic_fit(m.growth_sequence).count() == 25
 
 
 def test_grouped_fit_and_r2_on_spark(spark):
@@ -37,15 +56,71 @@ def test_kmeans_on_planted_blocks(spark):
     ev = spark.createDataFrame(
         [(u, e) for u in range(40) for e in ((1, 2) if u < 20 else (3, 4))], "uid long, entity long"
     )
-    vec, idx, n = segments.incidence_vectors(ev)
+    cells = segments.incidence_cells(ev)
+    vec, n = segments.incidence_vectors(cells, segments.entity_index(cells))
     assert n == 4
     seg = segments.kmeans_segments(vec, k=2, seed=42)
     groups = {tuple(sorted(r["uids"])) for r in seg.groupBy("cluster").agg(F.collect_list("uid").alias("uids")).collect()}
     assert groups == {tuple(range(20)), tuple(range(20, 40))}
-    prof = segments.cluster_profile(seg, idx, 5).filter("mean = 1.0")
-    assert prof.count() == 4
-    pca = segments.pca_2d(vec)
-    assert pca.count() == 40
+    prof = segments.cluster_profile(seg, cells, 3).collect()
+    assert sorted((r["entity"], r["mean"]) for r in prof) == [(1, 0.0), (1, 1.0), (2, 1.0), (3, 0.0), (3, 1.0), (4, 1.0)]
+    assert segments.pca_2d(cells).count() == 40
+
+
+def test_pca_equals_svd_of_the_centred_matrix(spark):
+    rng = np.random.default_rng(3)
+    a = (rng.random((120, 8)) < np.array([0.9, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1])).astype(float)
+    a[:60, :3] = 0
+    a[:, 0] = np.maximum(a[:, 0], a.sum(axis=1) == 0)
+    cells = spark.createDataFrame([(int(u), int(e)) for u, e in zip(*np.nonzero(a))], "uid long, entity long")
+    got = segments.pca_2d(cells, iterations=60).toPandas().sort_values("uid")[["x", "y"]].to_numpy()
+    u, s, _ = np.linalg.svd(a - a.mean(axis=0))
+    want = u[:, :2] * s[:2]
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-3)
+
+
+def test_clustering_covers_all_users(spark):
+    from fanlens.plans.model import model_for
+
+    reg = load_all()
+    m = model_for(spark, SF_SMALL)
+    users = m.ia.select("uid").distinct().count()
+    assert reg["a48_kmeans_segments"].on_model(m).count() == users
+    assert reg["a49_pca_2d"].on_model(m).count() == users
+
+
+def test_late_files_equal_the_batch(spark, tmp_path):
+    from fanlens.streaming.daily import read_daily_type, run_daily_type
+
+    src = str(tmp_path / "in")
+    for k, day in enumerate((20, 25, 1)):
+        one = spark.sql(f"SELECT CAST({k} AS BIGINT) AS uid, CAST(1 AS BIGINT) AS entity, timestamp_ntz'2024-01-{day:02d} 05:00:00' AS ts")
+        one.coalesce(1).write.mode("append").parquet(src)
+    rows = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    run_daily_type(spark, rows, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = read_daily_type(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["day"].day, r["total"]) for r in got) == [(1, 1), (20, 1), (25, 1)]
+
+
+def test_append_reads_only_the_months_of_the_batch(spark):
+    log = spark.createDataFrame([], ingest.LOG_SCHEMA)
+    path = shared_path(spark, "tests", "pruned", unique=True)
+    row = "SELECT CAST(1 AS BIGINT) AS uid, CAST(2 AS BIGINT) AS entity, timestamp_ntz'2024-0{}-05 05:00:00' AS ts"
+    for month in (1, 2, 3):
+        ingest.incremental_append(spark, path, spark.sql(row.format(month)))
+    log = spark.read.schema(ingest.LOG_SCHEMA).parquet(path)
+    plan = ingest.new_rows(log, spark.sql(row.format(2)))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*2024-02-01", plan) and "2024-03" not in plan
+    assert ingest.incremental_append(spark, path, spark.sql(row.format(2))) == 0
+
+
+def test_unreadable_log_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        ingest.incremental_append(spark, str(tmp_path / "log"), spark.sql("SELECT CAST(1 AS BIGINT) AS uid, CAST(2 AS BIGINT) AS entity, timestamp_ntz'2024-01-05 05:00:00' AS ts"))
 
 
 def test_append_twice_equals_once_and_empty_is_noop(spark):
@@ -71,7 +146,7 @@ def test_streams_equal_batch(spark):
     assert sorted(stream.collect()) == sorted(want.select("day", "weak", "strong", "total").collect())
     assert batch is not None
     landed = reg["t02_land_feed"].build(spark, SF_SMALL)
-    assert landed.count() == model_for(spark, SF_SMALL, "f3").pairs.count()
+    assert landed.count() == model_for(spark, SF_SMALL, "f3").ia.count()
 
 
 def test_time_helpers_ignore_session_zone(spark):
@@ -97,14 +172,3 @@ def test_mid_scale_model_has_all_relations(spark):
 
     m = model_for(spark, SF_MID)
     assert m.first_touch.count() == 26543
-
-
-def test_sparse_incidence_equals_dense(spark, monkeypatch):
-    ev = spark.createDataFrame([(u, e) for u in range(6) for e in range(1, 6) if (u + e) % 3], "uid long, entity long")
-    dense, _, n = segments.incidence_vectors(ev)
-    monkeypatch.setattr(segments, "DENSE_MAX_COLS", 1)
-    sparse, _, n2 = segments.incidence_vectors(ev)
-    assert n == n2 == 5
-    d = {r["uid"]: r["features"].toArray().tolist() for r in dense.collect()}
-    s = {r["uid"]: r["features"].toArray().tolist() for r in sparse.collect()}
-    assert d == s

@@ -8,8 +8,8 @@ from fanlens.sources import dims
 
 def test_upsert_replaces_by_key_and_last_update_wins(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], dims.ENTITY_SCHEMA)
-    upd = spark.createDataFrame([(2, "B1"), (3, "c"), (2, "B2")], dims.ENTITY_SCHEMA)
-    got = sorted(tuple(r) for r in dims.upsert(base, upd, "entity").collect())
+    upd = spark.createDataFrame([(2, "B2", 9), (3, "c", 2), (2, "B1", 1)], "entity long, name string, seen int")
+    got = sorted(tuple(r) for r in dims.upsert(base, upd.repartition(3), "entity", "seen").collect())
     assert got == [(1, "a"), (2, "B2"), (3, "c")]
 
 

@@ -152,7 +152,7 @@ def test_unnamed_entity_dropped_from_pivot(spark):
         [("2024-01-01", 1, 3), ("2024-01-01", ROAMING, 4), ("2024-02-01", 2, 1)], "month string, source long, cnt long"
     ).withColumn("month", F.col("month").cast("timestamp_ntz"))
     dim = spark.createDataFrame([(1, "A"), (2, "B")], "entity long, name string")
-    piv = selection.flow_pivot(selection.named_flows(src, dim, "source"))
+    piv = selection.flow_pivot(selection.named_flows(src, dim, "source"), [r["name"] for r in dim.orderBy("name").collect()])
     assert piv.columns == ["month", "A", "B"]
     assert rows(piv, "month", "A", "B") == [("2024-01", 3, 0), ("2024-02", 0, 1)]
 
