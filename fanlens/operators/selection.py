@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fanlens.functions.select import Selection, drop_selected, keep_selected, mark_selected
 from fanlens.functions.time import add_days, year_month
+from fanlens import params as P
 from fanlens.params import MIN_CLUSTER_USERS, OTHERS, ROAMING, RFM_HIGH_VALUE, STAGES, TOP_N_RANGE, check_range
 
 ROAMING_NAME = "roaming"
@@ -71,7 +72,7 @@ def layer_health(layers: DataFrame) -> DataFrame:
     """Fixed share of the latest month with bands >0.55 / >0.4 / else."""
     last = _latest(layers, "month")
     ratio = _fix_ratio(F.col("fixed_mau"), F.col("mau"))
-    band = F.when(ratio > 0.55, "healthy").when(ratio > 0.4, "medium").otherwise("unstable")
+    band = F.when(ratio > P.FIXED_SHARE_HEALTHY, "healthy").when(ratio > P.FIXED_SHARE_MEDIUM, "medium").otherwise("unstable")
     return last.select("month", "mau", "fixed_mau", "flowing_mau", "roaming_mau", ratio.alias("fix_ratio"), band.alias("band"))
 
 
@@ -87,7 +88,8 @@ def entity_layer_health(eal: DataFrame) -> DataFrame:
     x = eal.select("entity", "month", "mau", "fixed_mau", "flowing_mau", "roaming_mau", ratio.alias("fix_ratio"))
     x = x.withColumn("prev_fix_ratio", F.coalesce(F.lag("fix_ratio").over(w), F.col("fix_ratio")))
     last = _latest(x, "month", ["entity"])
-    band = F.when(F.col("fix_ratio") < 0.4, "unstable").when(F.col("fix_ratio") > 0.7, "core_stable").otherwise("growing")
+    band = F.when(F.col("fix_ratio") < P.ENTITY_SHARE_UNSTABLE, "unstable").when(F.col("fix_ratio") > P.ENTITY_SHARE_CORE, "core_stable")
+    band = band.otherwise("growing")
     return last.select(
         "entity", "month", "mau", "fixed_mau", "flowing_mau", "roaming_mau", "fix_ratio", "prev_fix_ratio",
         F.when(F.col("fix_ratio") > F.col("prev_fix_ratio"), "up").otherwise("down").alias("trend"),
@@ -120,7 +122,7 @@ def top_concentration(pen: DataFrame, k: int = 3) -> DataFrame:
         F.round(s, 9).alias("top_penetration"),
         F.max_by("entity", F.struct(F.col("penetration"), -F.col("entity"))).alias("leader"),
         F.max("penetration").alias("leader_penetration"),
-        F.when(s > 0.6, "concentrated").when(s > 0.4, "semi").otherwise("dispersed").alias("band"),
+        F.when(s > P.TOP3_CONCENTRATED, "concentrated").when(s > P.TOP3_SEMI, "semi").otherwise("dispersed").alias("band"),
     )
 
 
@@ -190,7 +192,7 @@ def cross_rate(assoc: DataFrame, k: int = 3) -> DataFrame:
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cnt").desc(), F.col("entity"))).cast("bigint"))
     return top.crossJoin(agg).select(
         "rank", "entity", "cnt", "cross_rate",
-        F.when(F.col("cross_rate") > 0.6, "high_flow").otherwise("sticky").alias("band"),
+        F.when(F.col("cross_rate") > P.CROSS_RATE_HIGH, "high_flow").otherwise("sticky").alias("band"),
     )
 
 
@@ -226,7 +228,8 @@ def weak_share(long: DataFrame, days: int = 7) -> DataFrame:
         (F.lit(1.0) - F.col("weak_share")).alias("strong_share"),
         "weak_recent",
         F.when(F.col("weak_recent") > F.col("weak_share"), "up").otherwise("down").alias("trend"),
-        F.when(F.col("weak_share") > 0.6, "watching").when(F.col("weak_share") > 0.4, "balanced").otherwise("engaged").alias("band"),
+        F.when(F.col("weak_share") > P.WEAK_SHARE_WATCHING, "watching").when(F.col("weak_share") > P.WEAK_SHARE_BALANCED, "balanced")
+        .otherwise("engaged").alias("band"),
     )
 
 
@@ -336,7 +339,7 @@ def weakest_step(tot: DataFrame) -> DataFrame:
     long = tot.selectExpr("acq", "stack(3, 1, 'activ', activ, 2, 'reten', reten, 3, 'refer', refer) AS (ord, step, v)")
     rates = long.select("ord", "step", (F.col("v") / den).alias("rate"))
     best = rates.agg(F.min_by("step", F.struct("rate", "ord")).alias("step"), F.min("rate").alias("rate"))
-    return best.withColumn("flag", F.col("rate") < 0.2)
+    return best.withColumn("flag", F.col("rate") < P.FUNNEL_STEP_WEAK)
 
 
 # --- layer funnel readings (A34-A36) --------------------------------------------
@@ -376,13 +379,13 @@ def churn_series(efnc: DataFrame, ids: Sequence[int] | None) -> DataFrame:
 
 
 def churn_latest(series: DataFrame) -> DataFrame:
-    """Latest rate, its direction and whether it is near balance (|r| < 0.03)."""
+    """Latest rate, its direction and whether it is near balance (|r| < CHURN_BALANCED)."""
     last = _latest(series, "month")
     r = F.col("churn_rate")
     return last.select(
         "month", "churn_rate",
         F.when(r < 0, "narrowing").otherwise("bleeding").alias("direction"),
-        (F.abs(r) < 0.03).alias("balanced"),
+        (F.abs(r) < P.CHURN_BALANCED).alias("balanced"),
     )
 
 
@@ -399,7 +402,7 @@ def cohort_curve(cr: DataFrame, max_age: int = 3) -> DataFrame:
 def mean_retention(curve: DataFrame, age: int = 1) -> DataFrame:
     """Mean rate at ``age``; band below 0.35."""
     return curve.filter(F.col("month_age") == age).agg(F.round(F.avg("rate"), 9).alias("mean_rate")).withColumn(
-        "band", F.when(F.col("mean_rate") < 0.35, "weak").otherwise("healthy")
+        "band", F.when(F.col("mean_rate") < P.RETENTION_WEAK, "weak").otherwise("healthy")
     )
 
 
@@ -430,7 +433,7 @@ def high_value_share(seg: DataFrame) -> DataFrame:
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"),
     )
     share = F.when(F.col("total") > 0, F.col("high_value") / F.col("total")).otherwise(F.lit(0.0))
-    return out.select("high_value", "total", share.alias("share"), F.when(share < 0.1, "low").otherwise("high").alias("band"))
+    return out.select("high_value", "total", share.alias("share"), F.when(share < P.HIGH_VALUE_LOW, "low").otherwise("high").alias("band"))
 
 
 def rfm_contribution_series(rdc: DataFrame, ids: Sequence[int] | None) -> DataFrame:
@@ -450,7 +453,7 @@ def weakest_segment(series: DataFrame) -> DataFrame:
     """Each tag's value on its last day; the smallest (ties -> smaller tag); flag < 0.15."""
     last = series.dropna().groupBy("rfm_tag").agg(F.max_by("evt_ratio", "day").alias("evt_ratio"))
     return last.agg(F.min_by("rfm_tag", F.struct("evt_ratio", "rfm_tag")).alias("rfm_tag"), F.min("evt_ratio").alias("evt_ratio")).withColumn(
-        "flag", F.col("evt_ratio") < 0.15
+        "flag", F.col("evt_ratio") < P.SEGMENT_WEAK
     )
 
 

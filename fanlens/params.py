@@ -30,6 +30,18 @@ RFM_POTENTIAL = "potential"
 RFM_CHURN_RISK = "churn_risk"
 RFM_REGULAR = "regular"
 
+# bands of the dashboard's readings (fixed values): a share above / below which a word is given
+FIXED_SHARE_HEALTHY, FIXED_SHARE_MEDIUM = 0.55, 0.4
+ENTITY_SHARE_UNSTABLE, ENTITY_SHARE_CORE = 0.4, 0.7
+TOP3_CONCENTRATED, TOP3_SEMI = 0.6, 0.4
+CROSS_RATE_HIGH = 0.6
+WEAK_SHARE_WATCHING, WEAK_SHARE_BALANCED = 0.6, 0.4
+FUNNEL_STEP_WEAK = 0.2
+CHURN_BALANCED = 0.03
+RETENTION_WEAK = 0.35
+HIGH_VALUE_LOW = 0.1
+SEGMENT_WEAK = 0.15
+
 # parameter ranges of the interactive controls (fixed values)
 TOP_N_RANGE = (3, 15)
 CLUSTER_K_RANGE = (2, 10)

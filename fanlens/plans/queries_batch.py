@@ -51,12 +51,12 @@ def d08(m):
     return m.pair_label_augmented
 
 
-@register("d09_flow_source", "SELECT uid, target, month, source FROM fs", headline=True)
+@register("d09_flow_source", "SELECT uid, target, month, source FROM fs")
 def d09(m):
     return m.flow_source
 
 
-@register("d10_flow_target", "SELECT uid, source, month, target FROM ftg", headline=True)
+@register("d10_flow_target", "SELECT uid, source, month, target FROM ftg")
 def d10(m):
     return m.flow_target
 
@@ -102,7 +102,7 @@ def d17(m):
     return funnel.revenue_proxy(m.funnel_core)
 
 
-@register("d18_aarrr_metrics", "SELECT * FROM aarrr", headline=True)
+@register("d18_aarrr_metrics", "SELECT * FROM aarrr")
 def d18(m):
     return m.aarrr_metrics
 
@@ -122,7 +122,7 @@ def d21(m):
     return m.rfm_score
 
 
-@register("d22_rfm_user", "SELECT * FROM rfm", headline=True)
+@register("d22_rfm_user", "SELECT * FROM rfm")
 def d22(m):
     return m.rfm_user
 
@@ -167,7 +167,7 @@ def d25_v2(m):
     return cohort.cohort_retention(m.first_touch, m.pair_label, m.pair_months, min_age=0)
 
 
-@register("d26_rfm_daily_contribution", "SELECT * FROM rdc", headline=True)
+@register("d26_rfm_daily_contribution", "SELECT * FROM rdc")
 def d26(m):
     return m.rfm_daily_contribution
 
@@ -192,12 +192,12 @@ def d29(m):
     return m.active_layers
 
 
-@register("d30_entity_active_layers", "SELECT * FROM elayers", headline=True)
+@register("d30_entity_active_layers", "SELECT * FROM elayers")
 def d30(m):
     return m.entity_active_layers
 
 
-@register("d31_penetration", "SELECT * FROM pen", headline=True)
+@register("d31_penetration", "SELECT * FROM pen")
 def d31(m):
     return m.penetration
 

@@ -20,7 +20,6 @@ class Query:
     name: str
     build: Callable[[SparkSession, str], DataFrame]
     oracle: str | None
-    headline: bool = False
     on_model: Callable[[AudienceModel], DataFrame] | None = None
     final_sql: str | None = None
 
@@ -28,7 +27,7 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, final_sql: str | None, fixture: str = "f1", headline: bool = False):
+def register(name: str, final_sql: str | None, fixture: str = "f1"):
     """Decorator for ``fn(model) -> DataFrame``; ``final_sql`` is the oracle's last SELECT."""
 
     def deco(fn: Callable[[AudienceModel], DataFrame]):
@@ -36,17 +35,17 @@ def register(name: str, final_sql: str | None, fixture: str = "f1", headline: bo
             return fn(model_for(spark, sf_dir, fixture))
 
         q = oracle.sql(final_sql, fixture) if final_sql is not None else None
-        REGISTRY[name] = Query(name, build, q, headline, on_model=fn, final_sql=final_sql)
+        REGISTRY[name] = Query(name, build, q, on_model=fn, final_sql=final_sql)
         return fn
 
     return deco
 
 
-def register_raw(name: str, oracle_sql: str | None, headline: bool = False):
+def register_raw(name: str, oracle_sql: str | None):
     """Decorator for ``fn(spark, sf_dir) -> DataFrame`` with a complete oracle query."""
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
-        REGISTRY[name] = Query(name, fn, oracle_sql, headline)
+        REGISTRY[name] = Query(name, fn, oracle_sql)
         return fn
 
     return deco
