@@ -8,7 +8,8 @@ The decoded text is joined from the same table.
 
 The table belongs to a task: one table for all rows would have to shuffle every
 word occurrence.  It is emptied when it reaches ``TABLE_WORDS`` entries or
-``TABLE_CHARS`` characters, which bounds its memory and changes no result.
+``TABLE_CHARS`` characters, which bounds its memory and changes no result; new
+words of about ``BATCH_CHARS`` characters of text are segmented in one call.
 
 Defined cases: a null text is encoded as an empty one (begin and end ids only);
 whole texts are encoded however long; repeated rows are encoded alike; other
@@ -18,16 +19,19 @@ columns pass through, ``ids`` and ``decoded`` replace columns of those names.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fanlens.llm.common import free_name
+
 MARK = "▁"
 TABLE_WORDS, TABLE_CHARS = 500_000, 32_000_000
+BATCH_CHARS = 4_000_000
 
 
 def crosses_marker(model) -> bool:
@@ -44,53 +48,70 @@ class ChunkTable:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         if crosses_marker(self.model):
             raise ValueError("the model has pieces that cross whitespace markers")
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.lone = [self.model.piece_to_id(MARK)]
+        self.begin, self.end = (array("I", [i]).tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
         self.chars = 0
 
     def _learn(self, words: list[str]) -> None:
-        # the library puts a marker before what it encodes: it takes the place of the word's first one
-        found = self.model.encode([w[1:] for w in words], num_threads=1)
-        for word, ids in zip(words, found, strict=True):
-            ids = ids or [self.model.piece_to_id(MARK)]  # a lone marker
-            text = " " + self.model.decode(ids)
-            self.words[word] = (np.array(ids, "<u4").tobytes(), text)
-            self.chars += len(word) + len(text) + 4 * len(ids)
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids with begin and end ids (little-endian, 32 bits each), decoded text."""
-        begin, end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
-        if not text:
-            return begin + end, ""
-        marked = MARK + text.replace(" ", MARK)
-        chunks = [MARK + w for w in marked.split(MARK)[1:]]
-        if MARK in chunks:  # runs of markers belong to the word behind them
-            chunks = re.findall(f"{MARK}+[^{MARK}]*", marked)
-        distinct = dict.fromkeys(chunks)
-        new = [w for w in distinct if w not in self.words]
-        if new and (len(self.words) + len(new) > TABLE_WORDS or self.chars > TABLE_CHARS):
-            self.words, self.chars, new = {}, 0, list(distinct)
+        # the library puts a marker before what it encodes: the word's first one
+        found = [ids or self.lone for ids in self.model.encode(words, num_threads=1)]
+        self.ids.update(zip(words, [array("I", ids).tobytes() for ids in found], strict=True))
+        self.texts.update(zip(words, [" " + x for x in self.model.decode(found, num_threads=1)], strict=True))
+        self.chars += 2 * sum(map(len, words)) + 4 * sum(map(len, found))
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """For each text its ids with begin and end ids (little-endian, 32 bits each) and its decoded text."""
+        cut = [chunks(x) if x else [] for x in texts]
+        distinct = set().union(*cut)
+        new = distinct.difference(self.ids)
+        if len(self.ids) + len(new) > TABLE_WORDS or self.chars > TABLE_CHARS:
+            self.ids, self.texts, self.chars, new = {}, {}, 0, distinct
         if new:
-            self._learn(new)
-        parts = [self.words[w] for w in chunks]
-        return begin + b"".join([p[0] for p in parts]) + end, "".join([p[1] for p in parts])[1:]
+            self._learn(list(new))
+        ids, texts = self.ids.__getitem__, self.texts.__getitem__
+        return [(self.begin + b"".join(map(ids, w)) + self.end, "".join(map(texts, w))[1:]) for w in cut]
+
+
+def chunks(text: str) -> list[str]:
+    """The marked words of a text, each without its first marker.
+
+    A marked word is a run of markers and what follows it."""
+    words = text.split(" ")
+    if "" not in words and MARK not in text:
+        return words
+    return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
+
+
+def batches(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``BATCH_CHARS`` characters."""
+    held, chars = [], 0
+    for x in texts:
+        held.append(x)
+        chars += len(x or "")
+        if chars >= BATCH_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def encode_texts(docs: DataFrame, model_file: str, text: str = "text", decode: bool = True) -> DataFrame:
     """``docs`` without ``text``, with ids (binary: little-endian unsigned 32-bit) and decoded (string)."""
     kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+    source = free_name(docs, "source_text")
     fields = [docs.schema[c] for c in kept] + [T.StructField("ids", T.BinaryType())]
     fields += [T.StructField("decoded", T.StringType())] if decode else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = ChunkTable(model_file)
         for pdf in frames:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                done = [table.encode(x) for x in part["_text"]]
-                out = part[kept].copy()
-                out["ids"] = [x[0] for x in done]
-                if decode:
-                    out["decoded"] = [x[1] for x in done]
-                yield out
-
-    return docs.select(*kept, F.col(text).alias("_text")).mapInPandas(run, T.StructType(fields))
+            at = 0
+            for texts in batches(pdf[source].tolist()):
+                done = table.encode(texts)
+                out = pdf[kept].iloc[at : at + len(texts)].assign(ids=[x[0] for x in done])
+                yield out.assign(decoded=[x[1] for x in done]) if decode else out
+                at += len(texts)
+
+    return docs.select(*kept, F.col(text).alias(source)).mapInPandas(run, T.StructType(fields))
