@@ -90,8 +90,12 @@ def flow_target(ft: DataFrame, pm: DataFrame) -> DataFrame:
         .filter("rk = 1")
         .select("uid", F.col("at").alias("month"), "x", F.col("entity").alias("second"))
     )
+    # marks and runner-ups meet by an aggregation, which the user partitioning already serves
+    none = F.lit(None).cast("bigint")
+    both = marks.withColumn("second", none).unionByName(runner.withColumn("leader", none))
+    met = both.groupBy("uid", "x", "month").agg(F.max("leader").alias("leader"), F.max("second").alias("second"))
     pick = F.when(F.col("leader") != F.col("x"), F.col("leader")).otherwise(F.col("second"))
-    return marks.join(runner, ["uid", "month", "x"], "left").select(
+    return met.select(
         "uid",
         F.col("x").alias("source"),
         "month",
