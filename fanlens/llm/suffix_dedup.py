@@ -1,9 +1,9 @@
 """Suffix-array dedup: remove bytes of repeated strings of ``LENGTH`` bytes, all but the first.
 
 A string of LENGTH bytes that occurs twice holds, at the same place in both, the
-``GRAM`` bytes whose hash is least in it.  So every text is anchored at the grams
-that are least in some window (about one in 35 bytes), and an anchor's context,
-LENGTH - GRAM bytes before it and LENGTH from it, holds every window it stands for.
+``GRAM`` bytes whose hash is least in it, the last such.  So every text is anchored
+at the grams that are least in some window (about one in 35 bytes), and an anchor's
+context is the bytes of the windows in which it is: a run of neighbouring windows.
 
 1. Each task anchors its texts; of equal contexts it keeps the first and marks
    the others as covered.
@@ -16,7 +16,7 @@ LENGTH - GRAM bytes before it and LENGTH from it, holds every window it stands f
 
 Copies and boilerplate collapse before the shuffle, so a passage with a third of
 all rows is a row for each task; a gram with more than ``WIDE`` contexts is dealt
-again by the 34 bytes on its left and on its right, one of which every window has.
+again by ``SPLITS`` longer strings around it, one of which every window holds.
 
 "First" is by document id, then place.  Defined cases: a null or empty text, or
 one shorter than LENGTH, loses nothing (0 bytes if null).  Rows that share an id
@@ -39,37 +39,40 @@ from fanlens.llm.suffix_groups import common_prefixes, longest_earlier, suffix_a
 
 LENGTH, GRAM = 100, 32
 BEFORE = LENGTH - GRAM  # windows that hold a gram start at most so far before it
-HALF = BEFORE // 2
-WIDE = 256
-CHUNK_BYTES = 4 << 20  # text hashed at once
+WIDE, SPLITS = 256, 4
+CHUNK_BYTES = 1 << 20  # text hashed at once
 HELD_ANCHORS = 400_000  # anchors among which a task drops equal contexts
 HELD_CONTEXTS = 20_000  # contexts in one suffix array
 LAST = (1 << 63) - 1
 
+SHAPE = 128  # bytes before a gram x SHAPE + bytes from it on, both at most LENGTH
 ANCHOR = "kind int, h long, c long, o long, sub long, a int, b int"
 COVER = "o long, sub long, a int, b int"
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Places in ``data`` (texts one after the other, uint8) of grams least in some window of their text."""
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors in ``data`` (texts one after the other, uint8): place, first and last window each stands for."""
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     x = (data.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     for w in (1, 2, 4, 8, 16):
         x = x[:-w] * np.uint32(0x85EBCA6B) + (x[w:] ^ x[w:] >> np.uint32(15)) * np.uint32(0xC2B2AE35)
     x ^= x >> np.uint32(16)
     x *= np.uint32(0x27D4EB2F)
     x ^= x >> np.uint32(15)
-    np.clip(x, 1, 0xFFFFFFFE, out=x)
-    for e in ends.tolist():  # grams and windows that would cross the end of a text
-        x[max(0, e - GRAM + 1) : e] = 0xFFFFFFFF
-    least = _sliding(x, BEFORE + 1, np.minimum)
+    # the least hash, and of equal ones the last
+    key = x.astype(np.uint64) << np.uint64(32) | np.arange(len(x), 0, -1, dtype=np.uint64)
+    least = _sliding(key, BEFORE + 1, np.minimum)
+    inside = np.ones(len(least), bool)  # windows that do not cross the end of a text
     for e in ends.tolist():
-        least[max(0, e - LENGTH + 1) : e] = 0
-    pad = np.zeros(BEFORE, np.uint32)
-    most = _sliding(np.concatenate((pad, least, pad[: len(x) - len(least)])), BEFORE + 1, np.maximum)
-    return np.flatnonzero(x == most[: len(x)])
+        inside[max(0, e - LENGTH + 1) : e] = False
+    first = inside.copy()
+    first[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= (least[1:] != least[:-1]) | ~inside[1:]
+    begin = np.flatnonzero(first)
+    return len(x) - (least[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64), begin, np.flatnonzero(last)
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -94,6 +97,11 @@ def merged(o: np.ndarray, sub: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.D
     return pd.DataFrame({"o": o[first], "sub": sub[first], "a": a[first], "b": (reach[last] - doc[last]).astype(np.int64)})
 
 
+def _bounds(pos: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where contexts begin and end, from their gram's place and the bytes before and from it."""
+    return pos - shape // SHAPE, pos + shape % SHAPE
+
+
 def _first_of_class(h, c, o, sub, pos) -> tuple[np.ndarray, np.ndarray]:
     """Order by context, then age, each place once (a repeated row has the same); where a context begins in it."""
     order = np.lexsort((pos, sub, o, c, h))
@@ -106,7 +114,7 @@ def _first_of_class(h, c, o, sub, pos) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts to anchors (kind 0; a, b: place, bytes from there on) and covered ranges (kind 1)."""
+    """Texts to anchors (kind 0; a, b: place, shape of the context) and covered ranges (kind 1)."""
     import xxhash
 
     gram, context = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
@@ -115,25 +123,24 @@ def _anchored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def take(texts: list[bytes], o: list[int], sub: list[int]) -> int:
         data = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
-        at = anchors(np.frombuffer(data, np.uint8), ends)
+        at, lo, hi = anchors(np.frombuffer(data, np.uint8), ends)
         doc = np.searchsorted(ends, at, side="right")
         starts = ends - [len(t) for t in texts]
-        lo = np.maximum(at - BEFORE, starts[doc])
-        hi = np.minimum(at + LENGTH, ends[doc])
+        hi = hi + LENGTH
         h = np.array([gram(data[p : p + GRAM]) for p in at.tolist()], np.uint64).view(np.int64)
-        shape = (at - lo) * 128 + (hi - at)
+        shape = (at - lo) * SHAPE + (hi - at)
         c = np.array([context(data[p:q], s) for p, q, s in zip(lo.tolist(), hi.tolist(), shape.tolist())], np.uint64).view(np.int64)
-        held.append((h, c, np.array(o, np.int64)[doc], np.array(sub, np.int64)[doc], at - starts[doc], hi - at))
+        held.append((h, c, np.array(o, np.int64)[doc], np.array(sub, np.int64)[doc], at - starts[doc], shape))
         return len(at)
 
     def flush() -> Iterator[pd.DataFrame]:
-        h, c, o, sub, pos, right = (np.concatenate(x) for x in zip(*held))
+        h, c, o, sub, pos, shape = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order, first = _first_of_class(h, c, o, sub, pos)
         keep, gone = order[first], order[~first]
-        yield pd.DataFrame({"kind": 0, "h": h[keep], "c": c[keep], "o": o[keep], "sub": sub[keep], "a": pos[keep], "b": right[keep]})
+        yield pd.DataFrame({"kind": 0, "h": h[keep], "c": c[keep], "o": o[keep], "sub": sub[keep], "a": pos[keep], "b": shape[keep]})
         if len(gone):
-            m = merged(o[gone], sub[gone], np.maximum(pos[gone] - BEFORE, 0), pos[gone] + right[gone])
+            m = merged(o[gone], sub[gone], *_bounds(pos[gone], shape[gone]))
             yield m.assign(kind=1, h=h[gone[: len(m)]], c=0)[["kind", "h", "c", "o", "sub", "a", "b"]]
 
     texts, o, sub, size, rows = [], [], [], 0, 0
@@ -176,19 +183,20 @@ def whole_groups(frames: Iterator[pd.DataFrame], key: str, rows: int) -> Iterato
 
 
 def _collapsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors by gram to covered ranges (kind 1) and contexts to compare (kind 2; a: place, b: 1 if wide)."""
+    """Anchors by gram to covered ranges (kind 1) and contexts to compare (kind 2; a, b: place, shape; c: 1 if wide)."""
     for pdf in whole_groups(frames, "h", 100_000):
         passed = pdf[pdf["kind"] == 1]
         pdf = pdf[pdf["kind"] == 0]
-        h, c, o, sub, pos, right = (pdf[x].to_numpy() for x in ("h", "c", "o", "sub", "a", "b"))
+        h, c, o, sub, pos, shape = (pdf[x].to_numpy(np.int64) for x in ("h", "c", "o", "sub", "a", "b"))
         order, first = _first_of_class(h, c, o, sub, pos)
-        h, c, o, sub, pos, right = (x[order] for x in (h, c, o, sub, pos, right))
+        h, c, o, sub, pos, shape = (x[order] for x in (h, c, o, sub, pos, shape))
         group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
         classes = np.bincount(group[first], minlength=int(group[-1]) + 1 if len(group) else 0)
         ask = first & (classes[group] > 1)
-        yield pd.DataFrame({"kind": 2, "h": h[ask], "c": 0, "o": o[ask], "sub": sub[ask], "a": pos[ask], "b": (classes[group[ask]] > WIDE).astype(int)})
+        wide = (classes[group[ask]] > WIDE).astype(np.int64)
+        yield pd.DataFrame({"kind": 2, "h": h[ask], "c": wide, "o": o[ask], "sub": sub[ask], "a": pos[ask], "b": shape[ask]})
         gone = ~first
-        a, b = np.maximum(pos[gone] - BEFORE, 0), pos[gone].astype(np.int64) + right[gone]
+        a, b = _bounds(pos[gone], shape[gone])
         m = merged(np.concatenate((o[gone], passed["o"])), np.concatenate((sub[gone], passed["sub"])), np.concatenate((a, passed["a"])), np.concatenate((b, passed["b"])))
         yield m.assign(kind=1, h=0, c=0)[["kind", "h", "c", "o", "sub", "a", "b"]]
 
@@ -204,14 +212,16 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = text.encode()
             for x in found:
                 pos = x["a"]
-                before, after = data[max(0, pos - BEFORE) : pos], data[pos : pos + LENGTH]
-                if not x["b"]:
+                before, after = data[pos - x["b"] // SHAPE : pos], data[pos : pos + x["b"] % SHAPE]
+                if not x["c"]:
                     out.append((x["h"], o, sub, pos, before, after))
                     continue
-                if len(before) >= HALF:
-                    out.append((xxhash.xxh64_intdigest(before[-HALF:] + after[:GRAM], 1) - (1 << 63), o, sub, pos, before, after))
-                if len(after) >= GRAM + HALF:
-                    out.append((xxhash.xxh64_intdigest(after[: GRAM + HALF], 2) - (1 << 63), o, sub, pos, before, after))
+                # windows by how many bytes they have before the gram: all of a range share the bytes that the range has
+                for k in range(SPLITS):
+                    least, most = (BEFORE + 1) * k // SPLITS, (BEFORE + 1) * (k + 1) // SPLITS - 1
+                    if len(before) >= least and len(after) >= LENGTH - most:
+                        key = before[len(before) - least :] + after[: LENGTH - most]
+                        out.append((xxhash.xxh64_intdigest(key, k) - (1 << 63), o, sub, pos, before, after))
             if len(out) >= 20_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
@@ -219,38 +229,58 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=names)
 
 
-def _parting(group: np.ndarray, sides: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the strings within their groups, bytes each shares with the one before, and lengths."""
-    n = len(sides)
-    cells = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in sides), np.uint8).reshape(n, width)
-    size = np.array([len(s) for s in sides])
+def _parting(group: np.ndarray, cells: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings (rows of bytes) within their groups, and bytes each shares with the one before."""
+    n, width = cells.shape
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
     words[:, :width] = cells
-    words = words.view(">u8")
+    words = words.view(">u8").astype(np.uint64)
     order = np.lexsort((size, *words.T[::-1], group))
     cells, length, g = cells[order], size[order], group[order]
     same = cells[1:] == cells[:-1]
     shared = np.where(same.all(axis=1), width, same.argmin(axis=1))
     shared = np.minimum(shared, np.minimum(length[1:], length[:-1]))
     shared[g[1:] != g[:-1]] = 0
-    return order, np.concatenate(([0], shared)), size
+    return order, np.concatenate(([0], shared))
+
+
+def _most(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Bytes that each string shares with any other of its group."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(shared, np.append(shared[1:], 0))
+    return out
 
 
-def _levels(group: np.ndarray, order: np.ndarray, shared: np.ndarray, size: np.ndarray, name: int) -> tuple[list[list[tuple[int, int]]], int]:
-    """For each string (level, name) at each length where strings of its group part: equal names, equal bytes so far."""
+def _cells(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join([s.ljust(width, b"\0") for s in strings]), np.uint8).reshape(len(strings), width)
+    return data, np.array([len(s) for s in strings], np.int64)
+
+
+def _levels(group: np.ndarray, order: np.ndarray, shared: np.ndarray, least: np.ndarray, name: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """For each string (level, name) of the sets of strings it shares ``level`` bytes with, from the widest set.
+
+    Only levels of at least the group's ``least``; a set is one name."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(len(order))]
     g = group[order]
     cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))).tolist() + [len(order)]
-    order, shared, size = order.tolist(), shared.tolist(), size.tolist()
-    for p, q in zip(cuts, cuts[1:]):
-        inner = shared[p + 1 : q]
-        for level in sorted(set(inner) - {0}):
+    least = least[g].tolist()
+    order, shared = order.tolist(), shared.tolist()
+    todo = [(p, q) for p, q in zip(cuts, cuts[1:]) if q - p > 1]
+    while todo:
+        p, q = todo.pop()
+        level = min(shared[p + 1 : q])
+        if level >= least[p]:
+            name += 1
             for k in range(p, q):
-                if k == p or shared[k] < level:
-                    name += 1
-                if size[order[k]] >= level:
-                    out[order[k]].append((level, name))
-        name += 1
+                out[order[k]].append((level, name))
+        at = p
+        for k in range(p + 1, q):
+            if shared[k] == level:
+                if k - at > 1:
+                    todo.append((at, k))
+                at = k
+        if q - at > 1:
+            todo.append((at, q))
     return out, name
 
 
@@ -258,38 +288,51 @@ def match_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ranges of contexts (h, o, sub, pos, before, after) that an earlier context of their gram repeats."""
     pdf = pdf.drop_duplicates(["h", "o", "sub", "pos"]).sort_values(["o", "sub", "pos"], kind="stable")  # of repeated rows
     group = np.unique(pdf["h"].to_numpy(), return_inverse=True)[1]
-    left = _parting(group, [x[::-1] for x in pdf["before"]], BEFORE)
-    right = _parting(group, list(pdf["after"]), LENGTH)
-    lefts, name = _levels(group, *left, 0)
-    rights, name = _levels(group, *right, name)
+    left, left_size = _cells([x[::-1] for x in pdf["before"]], BEFORE)
+    right, right_size = _cells(list(pdf["after"]), LENGTH)
+    o, sub, pos = (pdf[c].to_numpy() for c in ("o", "sub", "pos"))
+    del pdf
+    while True:  # contexts that share too little on both sides together part from all others
+        l_order, l_shared = _parting(group, left, left_size)
+        r_order, r_shared = _parting(group, right, right_size)
+        l_most, r_most = _most(l_order, l_shared), _most(r_order, r_shared)
+        keep = l_most + r_most >= LENGTH
+        if keep.all():
+            break
+        group, left, left_size, right, right_size, o, sub, pos = (x[keep] for x in (group, left, left_size, right, right_size, o, sub, pos))
+    if not len(group):
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("o", "sub", "a", "b")})
+    l_top, r_top = np.zeros(group.max() + 1, np.int64), np.zeros(group.max() + 1, np.int64)
+    np.maximum.at(l_top, group, l_most)
+    np.maximum.at(r_top, group, r_most)
+    lefts, name = _levels(group, l_order, l_shared, np.maximum(LENGTH - r_top, 1), 0)
+    rights, name = _levels(group, r_order, r_shared, np.maximum(LENGTH - l_top, 1), name)
     text: list[int] = []
-    edge: list[tuple[int, int, bool]] = []  # of each symbol: context, level, on the right
+    edge: list[tuple[int, int]] = []  # of each symbol: context, level (below zero on the right)
     for k, (x, y) in enumerate(zip(lefts, rights, strict=True)):
-        if y and (x[-1][0] if x else 0) + y[-1][0] >= LENGTH:
+        if y:
             for level, s in reversed(x):
                 text.append(s)
-                edge.append((k, level, False))
+                edge.append((k, level))
             for level, s in y:
                 text.append(s)
-                edge.append((k, level, True))
+                edge.append((k, -level))
             name += 1
             text.append(name)  # no run goes on into the next context
-            edge.append((k, -1, True))
+            edge.append((-1, 0))
     text.append(-1)
-    edge.append((-1, -1, True))
+    edge.append((-1, 0))
     order = suffix_array(text)
     runs = longest_earlier(order, common_prefixes(text, order), range(len(text)))
-    o, sub, pos = (pdf[c].tolist() for c in ("o", "sub", "pos"))
     found = []
-    before = -2
+    before = -1
     for i, run in enumerate(runs):
-        k, level, on_right = edge[i]
-        if run and (not on_right or before != k):  # a run from a place left of the gram, or from the gram
-            _, end, reached = edge[i + run - 1]
-            start = 0 if on_right else level
-            if reached and start + end >= LENGTH:
+        k, level = edge[i]
+        if run and (level > 0 or before != k):  # a run from a place left of the gram, or from the gram
+            end, start = -edge[i + run - 1][1], max(level, 0)
+            if end > 0 and start + end >= LENGTH:
                 found.append((o[k], sub[k], pos[k] - start, pos[k] + end))
-        before = k if on_right else -2
+        before = k if level < 0 else -1
     return pd.DataFrame(found, columns=["o", "sub", "a", "b"])
 
 
@@ -329,7 +372,7 @@ def covered(texts: DataFrame) -> DataFrame:
     """texts: o, sub, text.  Returns a row for each text with covered bytes: o, sub, starts, stops."""
     met = texts.select("o", "sub", "text").mapInPandas(_anchored, ANCHOR).repartition("h").sortWithinPartitions("h")
     told = stored(met.mapInPandas(_collapsed, ANCHOR), "repeats")
-    asked = told.where("kind = 2").groupBy("o", "sub").agg(F.collect_list(F.struct("h", "a", "b")).alias("found"))
+    asked = told.where("kind = 2").groupBy("o", "sub").agg(F.collect_list(F.struct("h", "c", "a", "b")).alias("found"))
     shown = join_small(texts, asked, ["o", "sub"], "inner", F.size("found") * 24 + 32).select("o", "sub", "text", "found")
     context = "h long, o long, sub long, pos int, before binary, after binary"
     shown = shown.mapInPandas(_contexts, context).repartition("h").sortWithinPartitions("h")

@@ -29,13 +29,13 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     above = [*range(1, len(members)), -1]  # the next higher group
     below = [-1, *range(len(members) - 1)]
     state = [0] * len(members)  # 0 lower than the current group, 1 current, 2 done
+    size = [len(m) for m in members]
     parent = [-1] * n
 
     g = len(members) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
+        own = members[g] if len(members[g]) == size[g] else [i for i in members[g] if group[i] == g]
         own.sort()
-        members[g] = own
         state[g] = 1
         pointed: dict[int, int] = {}
         for i in own:
@@ -49,9 +49,11 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         moved: dict[tuple[int, int], list[int]] = {}
         for j, times in pointed.items():
             moved.setdefault((-times, group[j]), []).append(j)
-        for (_, old), up in sorted(moved.items()):
+        for (_, old), up in sorted(moved.items()) if len(moved) > 1 else moved.items():
             new = len(members)
             members.append(up)
+            size.append(len(up))
+            size[old] -= len(up)
             state.append(0)
             over = above[old]
             above.append(over)
@@ -69,7 +71,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         g = below[g]
     while g >= 0:
         free[g] = place
-        place += sum(group[i] == g for i in members[g])
+        place += size[g]
         g = above[g]
     order = [-1] * n
     placed = [False] * n
