@@ -373,7 +373,7 @@ def covered(texts: DataFrame) -> DataFrame:
     met = texts.select("o", "sub", "text").mapInPandas(_anchored, ANCHOR).repartition("h").sortWithinPartitions("h")
     told = stored(met.mapInPandas(_collapsed, ANCHOR), "repeats")
     asked = told.where("kind = 2").groupBy("o", "sub").agg(F.collect_list(F.struct("h", "c", "a", "b")).alias("found"))
-    shown = join_small(texts, asked, ["o", "sub"], "inner", F.size("found") * 24 + 32).select("o", "sub", "text", "found")
+    shown = texts.join(asked, ["o", "sub"]).select("o", "sub", "text", "found")
     context = "h long, o long, sub long, pos int, before binary, after binary"
     shown = shown.mapInPandas(_contexts, context).repartition("h").sortWithinPartitions("h")
     ranges = told.where("kind = 1").select("o", "sub", "a", "b").unionByName(shown.mapInPandas(_matched, COVER))
@@ -389,6 +389,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     rows = join_small(rows, shared, ["o"], "left", F.lit(9))
     rows = rows.select("id", "o", F.when(F.col("shared"), part).otherwise(F.lit(0)).cast("bigint").alias("sub"), "text")
     spans = covered(rows)
-    rows = join_small(rows, spans, ["o", "sub"], "left", F.size("starts") * 8 + 32)
+    rows = rows.join(spans, ["o", "sub"], "left")
     out = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
     return rows.select("id", "text", "starts", "stops").mapInPandas(_cut, out).withColumnRenamed("id", id_col)
