@@ -65,7 +65,7 @@ ranked AS (
 placed AS (SELECT *, row_number() OVER (ORDER BY f, h) - 1 AS pos, count(*) OVER () AS n FROM ranked),
 cut AS (SELECT *, (pos * 8) // n AS s FROM placed)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, s::INT AS shard,
-       (pos - (s * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard
+       (pos - (s * n + 7) // 8)::BIGINT AS slot, NULL::DOUBLE AS grown_shard
 FROM cut
 """
 
