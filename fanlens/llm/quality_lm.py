@@ -46,8 +46,10 @@ ORDER = 4
 START, END = "\x02", "\x03"
 GROUP_BYTES = 64 << 20
 TABLE_ROWS = 2_000_000  # n-grams that a task gathers before it hands them on
-QUANTILE, SLACK, SHORT = 0.99, 2.0, 200
+QUANTILE, SLACK, SHORT = 0.99, 1.0, 200
 STEP = 1000  # of log-perplexity
+FEW_LANGUAGES = 10_000
+PART_ROWS = 500_000  # n-grams of a partition
 FLOOR = 0.05  # of a discount, so that every history leaves some weight to unseen tokens
 
 
@@ -150,6 +152,11 @@ def _suffix(g, order: int) -> F.Column:
     return F.col(g).bitwiseAND(F.lit((1 << 16 * order) - 1))
 
 
+def by_language(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a side with a row for each language: counted, then broadcast if there are few (else AQE splits hot ones)."""
+    return rows.join(F.broadcast(side) if side.count() <= FEW_LANGUAGES else side, "lang", how)
+
+
 def discounts(counts: DataFrame) -> DataFrame:
     """lang, d1, d2, d3 of an order from its counts of counts (1/2, 1, 3/2 where one is missing), ``FLOOR`` at least."""
     n = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -165,12 +172,14 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     n-grams (lang, g, p) and the histories' weights of the lower order (lang, h, w).
 
     The first weights are those of the uniform share, already times it, at h = 0."""
-    by_order = {ORDER: counts}
+    parts = counts.count() // PART_ROWS + 1  # these tables are small beside the texts: no more partitions than they fill
+    by_order = {ORDER: counts.coalesce(parts)}
     for n in range(ORDER - 1, 0, -1):  # different tokens before each shorter n-gram
-        by_order[n] = by_order[n + 1].groupBy("lang", _suffix("g", n).alias("g")).agg(F.count("*").alias("c"))
+        shorter = by_order[n + 1].groupBy("lang", _suffix("g", n).alias("g")).agg(F.count("*").alias("c"))
+        by_order[n] = durable(shorter.coalesce(parts))
     probs, weights = [], []
     for n in range(1, ORDER + 1):
-        c = by_order[n].join(F.broadcast(discounts(by_order[n])), "lang")  # a row for each language
+        c = by_language(by_order[n], discounts(by_order[n]))
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         c = c.select("lang", "g", _shift("g", 16).alias("h"), "c", d.alias("d"))
         sums = c.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("freed"), F.count("*").alias("types"))
@@ -182,26 +191,30 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
             lower = probs[-1].select("lang", F.col("g").alias("s"), F.col("p").alias("below"))
             p = seen.withColumn("s", _suffix("g", n - 1)).join(lower, ["lang", "s"])
             p = p.select("lang", "g", (F.col("own") + F.col("w") * F.col("below")).alias("p"))
-        probs.append(durable(p))
-        weights.append(sums.select("lang", "h", w.alias("w")))
+        probs.append(durable(p.coalesce(parts)))
+        weights.append(durable(sums.select("lang", "h", w.alias("w")).coalesce(parts)))
     return probs, weights
 
 
 def log_probabilities(asked: DataFrame, probs: list[DataFrame], weights: list[DataFrame]) -> DataFrame:
-    """asked: distinct (lang, g).  Returns lang, g, logp for the languages that have a model."""
-    x = asked.withColumn("s1", _suffix("g", 1))
-    first = probs[0].select("lang", F.col("g").alias("s1"), "p")
-    x = x.join(first, ["lang", "s1"], "left")
-    x = x.join(F.broadcast(weights[0].select("lang", F.col("w").alias("uniform"))), "lang")  # a row for each language
-    x = x.withColumn("p", F.coalesce("p", "uniform"))
-    for n in range(2, ORDER + 1):
+    """asked: distinct (lang, g).  Returns lang, g, logp for the languages that have a model.
+
+    Most n-grams are found whole; only the others go down to the lower orders."""
+    whole = asked.join(probs[-1], ["lang", "g"], "left")
+    known, x = whole.where("p IS NOT NULL"), whole.where("p IS NULL").drop("p")
+    x = durable(x)
+    x = x.coalesce(x.count() // PART_ROWS + 1)
+    x = by_language(x, weights[0].select("lang", F.col("w").alias("p")))
+    for n in range(1, ORDER):
         seen = probs[n - 1].select("lang", F.col("g").alias("s"), F.col("p").alias("own"))
-        w = weights[n - 1].select("lang", F.col("h").alias("before"), "w")
-        x = x.withColumn("s", _suffix("g", n) if n < ORDER else F.col("g"))
-        x = x.withColumn("before", _shift("s", 16))
-        x = x.join(seen, ["lang", "s"], "left").join(w, ["lang", "before"], "left")
-        x = x.select("lang", "g", F.coalesce("own", F.coalesce("w", F.lit(1.0)) * F.col("p")).alias("p"))
-    return x.select("lang", "g", F.log("p").alias("logp"))
+        x = x.withColumn("s", _suffix("g", n)).join(seen, ["lang", "s"], "left")
+        x = x.withColumn("p", F.coalesce("own", "p")).drop("s", "own")
+        # the weight that the next longer history leaves to this order
+        w = weights[n].select("lang", F.col("h").alias("before"), "w")
+        history = _shift(_suffix("g", n + 1) if n + 1 < ORDER else F.col("g"), 16)
+        x = x.withColumn("before", history).join(w, ["lang", "before"], "left")
+        x = x.withColumn("p", F.col("p") * F.coalesce("w", F.lit(1.0))).drop("before", "w")
+    return known.unionByName(x).select("lang", "g", F.log("p").alias("logp"))
 
 
 def _rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
@@ -228,7 +241,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     dealt = rows.select("id", k.alias("k"), model.alias("lang"), "trusted", "text")
     dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("id", "k"), F.lit(groups)).cast("int"))
     dealt = dealt.mapInPandas(_packed, "id long, k string, lang string, trusted boolean, grp int, blob binary").repartition(groups, "grp")
-    asked = dealt.mapInPandas(_asked, "grp int, lang string, g long")
+    asked = dealt.mapInPandas(_asked, "grp int, lang string, g long").repartition("lang", "g")
     answers = log_probabilities(asked.select("lang", "g").distinct(), probs, weights)
     answers = asked.join(answers, ["lang", "g"])
     scored = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(
@@ -254,9 +267,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     middle = thresholds(scored, 0.5, 0.0).select("lang", "median")
     few = F.greatest(F.lit(0), F.lit(SHORT) - F.col("tokens"))
     steady = (F.col("lp") * F.col("tokens") + F.col("median") * few) / (F.col("tokens") + few)
-    scored = scored.join(F.broadcast(middle), "lang", "left").withColumn("lp", steady).drop("median")  # a row for each language
+    scored = by_language(scored, middle, "left").withColumn("lp", steady).drop("median")
     limits = thresholds(scored, quantile, slack).select("lang", "limit")
-    judged = scored.join(F.broadcast(limits), "lang", "left")
+    judged = by_language(scored, limits, "left")
     return judged.select(
         F.col("id").alias(id_col), "k", F.expr("nullif(substr(lang, 2), '')").alias("lang"),
         F.exp("lp").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("lp") <= F.col("limit"), F.lit(True)).alias("keep"),
