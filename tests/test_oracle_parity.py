@@ -30,7 +30,7 @@ def _norm(df: pd.DataFrame) -> pd.DataFrame:
             df[c] = df[c].astype("datetime64[us]").astype(str)
         elif pd.api.types.is_float_dtype(df[c]):
             df[c] = df[c].round(9)
-        df[c] = df[c].astype(str)
+        df[c] = df[c].astype(object).where(df[c].notna(), None).astype(str)
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
