@@ -39,7 +39,7 @@ class AudienceModel:
         self._held: list[DataFrame] = []
         self.ia = ia  # never held: the shared relation is pair_days
         self.p = params
-        self.dim = dim
+        self.dim = self._keep(dim) if dim is not None else None  # read by every selection
 
     # -- helpers ---------------------------------------------------------------
     def _keep(self, df: DataFrame) -> DataFrame:
