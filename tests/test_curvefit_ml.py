@@ -79,6 +79,34 @@ def test_pca_equals_svd_of_the_centred_matrix(spark):
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-3)
 
 
+def test_registered_pca_equals_svd_of_the_given_log(spark):
+    from fanlens.plans.model import model_for
+
+    m = model_for(spark, SF_MID)
+    got = load_all()["a49_pca_2d"].on_model(m).toPandas().sort_values("uid")[["x", "y"]].to_numpy()
+    cells = segments.incidence_cells(m.ia).toPandas()
+    (_, u), (_, e) = (np.unique(cells[k], return_inverse=True) for k in ("uid", "entity"))
+    a = np.zeros((u.max() + 1, e.max() + 1))
+    a[u, e] = 1.0
+    left, s, right = np.linalg.svd(a - a.mean(axis=0), full_matrices=False)
+    sign = np.sign(right[[0, 1], np.abs(right[:2]).argmax(axis=1)])
+    assert np.allclose(got, left[:, :2] * s[:2] * sign, atol=1e-6)
+
+
+def test_pca_of_more_entities_than_it_holds_vectors(spark, monkeypatch):
+    monkeypatch.setattr(segments, "PCA_BLOCK", 4)
+    monkeypatch.setattr(segments, "PCA_WIDTH", 16)
+    rng = np.random.default_rng(7)
+    a = (rng.random((100, 22)) < 0.3).astype(float)  # a flat spectrum
+    cells = spark.createDataFrame([(int(u), int(e)) for u, e in zip(*np.nonzero(a))], "uid long, entity long")
+    got = segments.pca_2d(cells).toPandas().sort_values("uid")[["x", "y"]].to_numpy()
+    u, s, _ = np.linalg.svd(a - a.mean(axis=0))
+    assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-5)
+    assert segments.pca_2d(cells.limit(0)).count() == 0
+    one = segments.pca_2d(cells.where("entity = 0")).collect()
+    assert one and all((r["x"], r["y"]) == (0.0, 0.0) for r in one)
+
+
 def test_clustering_covers_all_users(spark):
     from fanlens.plans.model import model_for
 
