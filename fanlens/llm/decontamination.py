@@ -10,15 +10,18 @@ The benchmark is a query set read in blocks of at most ``BLOCK_CHARS``
 characters; each block's items go to the tasks as one bounded closure, and every
 block meets every whole text.  Texts stay where they are: there is no shuffle.
 
-Defined cases: texts and items are compared as they are, by code points.  A null
-or empty text matches nothing; a null or empty item is ignored; an item too short
-for an error must occur exactly.  Repeated items are found each under its id.
+Defined cases: texts and items are compared by code points after case folding, with
+white space runs as one space and none around an item; budgets and distances count
+folded characters, spans are places in the text as given.  A null or empty text
+matches nothing; a null, empty or blank item is ignored; an item too short for an
+error must occur exactly, but for case and white space.  Repeated items are found each under its id.
 Repeated rows and null ids are kept.  A text is matched once per item, at the
 smallest distance, then the earliest end.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +38,18 @@ MATCHES = T.ArrayType(
 )
 
 
+def folded(text: str) -> str:
+    """``text`` in one case (``casefold``, which looks at single characters only), white space runs as one space."""
+    text = text.casefold()
+    words = " ".join(text.split())
+    return f"{' ' if text[:1].isspace() else ''}{words}{' ' if words and text[-1].isspace() else ''}"
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) in ``text`` of each character of ``folded(text)``."""
+    return [x.span() for x in re.finditer(r"\s+|\S", text) for _ in ("" if x[0].isspace() else x[0].casefold()) or " "]
+
+
 def pieces(item: str, rate: float) -> list[tuple[int, str]]:
     """(offset, piece): error budget + 1 pieces of nearly equal length."""
     n = int(len(item) * rate) + 1
@@ -118,16 +133,28 @@ def find(text: str, items: list[tuple[int | None, str]], automaton, rate: float)
     return out
 
 
+def find_folded(text: str, items: list[tuple[int | None, str]], automaton, rate: float) -> list[tuple[int | None, int, int, int]]:
+    """``find`` of folded items in the folded text, with the places in ``text``."""
+    got = find(folded(text), items, automaton, rate)
+    if not got:
+        return got
+    at = [*places(text), (len(text), len(text))]
+    return [(k, at[a][0], at[b - 1][1] if b > a else at[a][0], d) for k, a, b, d in got]
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of a bounded number of characters; the driver holds one at a time."""
+    """The folded items in blocks of a bounded number of characters; the driver holds one at a time."""
     block, chars = [], 0
     items = benchmark.select(F.col(item_id).cast("bigint"), F.col(text)).where(F.length(text) > 0)
     for row in items.orderBy(item_id, text).toLocalIterator():
-        if block and chars + len(row[1]) > BLOCK_CHARS:
+        item = folded(row[1]).strip()
+        if not item:
+            continue
+        if block and chars + len(item) > BLOCK_CHARS:
             yield block
             block, chars = [], 0
-        block.append((row[0], row[1]))
-        chars += len(row[1])
+        block.append((row[0], item))
+        chars += len(item)
     if block:
         yield block
 
@@ -143,7 +170,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
             automaton = build(items, rate)
             for pdf in frames:
                 old = [list(x) for x in pdf[into]]
-                new = [[] if not isinstance(x, str) else find(x, items, automaton, rate) for x in pdf[text]]
+                new = [[] if not isinstance(x, str) else find_folded(x, items, automaton, rate) for x in pdf[text]]
                 found = [a + [dict(zip(("item_id", "start", "end", "distance"), m)) for m in b] for a, b in zip(old, new)]
                 yield pdf.assign(**{into: pd.Series(found, index=pdf.index, dtype=object)})
 

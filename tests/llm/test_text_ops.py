@@ -99,6 +99,19 @@ def test_contaminated_equals_brute_force(spark):
     assert got == {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text} != set()
 
 
+def test_other_case_and_wrapping_are_found_at_their_place(spark):
+    items = [(1, "Which planet is the Largest of them all?"), (2, " straße  und \n weg zum fluss"), (3, "  ")]
+    passages = [items[0][1].upper(), items[0][1].replace(" ", "\n   "), "STRASSE UND\tWEG ZUM FLUSS"]
+    docs = spark.createDataFrame([(k, f"İntro  {p} \n end") for k, p in enumerate(passages)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.end, r.distance) for r in decontamination.contaminated(docs, bench).collect()}
+    want = {(k, 2 if k == 2 else 1): (7, 7 + len(p), 0) for k, p in enumerate(passages)}
+    assert got == want
+    assert decontamination.decontaminate(docs, bench).count() == 0
+    for text in ["", "İ ß\n\nx", "ﬁ Σς  "]:
+        assert len(decontamination.places(text)) == len(decontamination.folded(text))
+
+
 def test_decontaminate_in_blocks_nulls_and_empty(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "xx hello world, dear friends yy", 5), (2, None, 6), (None, "", 7), (3, "nothing here", 8), (3, "nothing here", 8)], "doc_id long, text string, matches int")
     bench = spark.createDataFrame([(1, "hello world, dear friends"), (2, None), (None, "zz"), (4, "")], "item_id long, text string")
