@@ -19,8 +19,9 @@ each document's mean log-probability is summed.  Everything gathered grows with
 the input, nothing is broadcast unmeasured or collected.
 
 A document is rejected if its log-perplexity is above its language's upper
-quantile of trusted text plus ``SLACK`` times that quantile's distance from the
-median.  Quantiles come from counts of log-perplexity in steps of 1/1000.
+quantile of trusted text.  Fewer than 1 / (1 - ``QUANTILE``) trusted documents (200)
+do not show that quantile: there the limit is carried on by up to ``SLACK`` times the
+quantile's distance from the median, in proportion to the documents missing.  Quantiles come from counts of log-perplexity in steps of 1/1000.
 Texts of fewer than ``SHORT`` tokens are averaged with enough tokens of median
 probability to make up ``SHORT``, as a few tokens say little.
 
@@ -46,7 +47,7 @@ ORDER = 4
 START, END = "\x02", "\x03"
 GROUP_BYTES = 64 << 20
 TABLE_ROWS = 2_000_000  # n-grams that a task gathers before it hands them on
-QUANTILE, SLACK, SHORT = 0.99, 1.0, 200
+QUANTILE, SLACK, SHORT = 0.995, 1.0, 200
 STEP = 1000  # of log-perplexity
 FEW_LANGUAGES = 10_000
 PART_ROWS = 500_000  # n-grams of a partition
@@ -256,8 +257,9 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
     of = Window.partitionBy("lang")  # at most a few ten thousand steps a language
     share = steps.withColumn("upto", F.sum("n").over(of.orderBy("b")) / F.sum("n").over(of))
     at = lambda q: F.min(F.when(F.col("upto") >= q, (F.col("b") + 1) / F.lit(STEP)))
-    return share.groupBy("lang").agg(at(0.5).alias("median"), at(quantile).alias("high")).select(
-        "lang", "median", (F.col("high") + slack * (F.col("high") - F.col("median"))).alias("limit")
+    missing = F.greatest(F.lit(0.0), 1 - F.col("n") * (1 - quantile))  # share of the documents that would show the quantile
+    return share.groupBy("lang").agg(at(0.5).alias("median"), at(quantile).alias("high"), F.sum("n").alias("n")).select(
+        "lang", "median", (F.col("high") + slack * missing * (F.col("high") - F.col("median"))).alias("limit")
     )
 
 

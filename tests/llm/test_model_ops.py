@@ -128,6 +128,13 @@ def test_quality_keeps_trusted_and_rejects_junk(spark):
     assert sum(k in kept for k in bad) <= 0.3 * len(bad)
 
 
+def test_limit_is_the_plain_quantile_where_the_sample_shows_it(spark):
+    rows = [("1en", True, k / 1000 + 0.0005) for k in range(1000)] + [("1de", True, k / 1000 + 0.0005) for k in range(100)] + [("1en", False, 9.0)]
+    got = {r.lang: r for r in quality_lm.thresholds(spark.createDataFrame(rows, "lang string, trusted boolean, lp double")).collect()}
+    assert got["1en"].limit == pytest.approx(0.995)
+    assert got["1de"].limit == pytest.approx(0.1 + 0.5 * (0.1 - 0.05))  # half of the 200 documents are missing
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, "good words here", None, 1), (None, None, "en", 2), (3, "", "xx", 3), (3, "", "xx", 3)], "doc_id long, text string, lang string, k int")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
