@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanlens.session import ensure_checkpoint_dir, shared_path
@@ -49,6 +49,32 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` under new column identities: one side of a cogroup of two frames of one origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def text_bytes(col) -> F.Column:
     """UTF-8 bytes of a string column; null counts as empty."""
     return F.coalesce(F.octet_length(col), F.lit(0))
+
+
+def ranked(df: DataFrame, within: list[str], by: list[str], place: str, total: str) -> DataFrame:
+    """``df`` with ``place`` (long, from 0, in the order ``by`` within equal ``within``) and ``total`` (rows there).
+
+    ``within`` must not be null.  Rows are cut into ranges of the whole order, so
+    one value with a third of all rows is many tasks; only the ranges' counts are
+    summed up.  Rows that are equal in ``by`` are numbered in any order."""
+    rows = durable(df).withColumn("_tie", F.monotonically_increasing_id())
+    order = [*within, *by, "_tie"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+    rows = durable(rows.withColumn("_at", F.monotonically_increasing_id())).withColumn("_run", F.shiftright("_at", 33))
+    runs = rows.groupBy(*within, "_run").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    of = Window.partitionBy(*within)
+    runs = runs.select(
+        *within, "_run",
+        (F.sum("_n").over(of.orderBy("_run")) - F.col("_n") - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(of).alias(total),
+    )
+    out = join_small(rows, runs, [*within, "_run"], "inner", F.lit(64))
+    return out.withColumn(place, F.col("_at") + F.col("_shift")).drop("_at", "_run", "_shift")

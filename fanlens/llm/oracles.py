@@ -69,4 +69,79 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM cut
 """
 
-ORACLES = {"op6_line_dedup": OP6, "op8_url_filter": OP8, "op9_sharding": OP9}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_UP = "sha256(string_agg(h, '' ORDER BY i))"
+_SIBLINGS = """
+    SELECT a.lv, a.g, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS before,
+           coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS after
+    FROM {0} a LEFT JOIN {0} b ON a.lv = b.lv AND a.g = b.g AND a.i // 3 = b.i // 3 AND a.i <> b.i
+    WHERE a.n > 1 GROUP BY a.lv, a.g, a.i
+"""
+_CLIMB = """
+    SELECT doc, c.lv + 1, c.g, c.i // 3, (c.n + 2) // 3, sha256(before || acc || after), proof || before || after
+    FROM {0} c JOIN {1} s ON c.lv = s.lv AND c.g = s.g AND c.i = s.i WHERE c.n > 1
+"""
+OP11 = f"""
+WITH RECURSIVE bits(k, i, c) AS (
+    SELECT 0, i, i FROM range(256) t(i)
+    UNION ALL SELECT k + 1, i, {_STEP} FROM bits WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+docs AS (
+    SELECT doc_id, source, lang, n_chars, text,
+           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(doc_id::VARCHAR), '..'), lambda x: ('0x' || x)::BIGINT)),
+               lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) % 2 = 0 AS chosen
+    FROM documents, crc
+),
+leaves AS (
+    SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, sha256({_LEAF.format(text='text')}) AS leaf,
+           CASE WHEN chosen THEN sha256({_LEAF.format(text="replace(text, chr(10), '')")}) END AS tampered
+    FROM docs
+),
+base AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n,
+           row_number() OVER () AS doc FROM leaves
+),
+tree(lv, g, i, h, n) AS (
+    SELECT 0, g, i, leaf, n FROM base
+    UNION ALL (SELECT lv + 1, g, i // 3, {_UP}, any_value((n + 2) // 3) FROM tree WHERE n > 1 GROUP BY lv, g, i // 3)
+),
+subroots AS (SELECT g AS source, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+above(lv, g, i, h, n) AS (
+    SELECT 0, '', i, h, n FROM subroots
+    UNION ALL (SELECT lv + 1, g, i // 3, {_UP}, any_value((n + 2) // 3) FROM above WHERE n > 1 GROUP BY lv, g, i // 3)
+),
+near AS ({_SIBLINGS.format('tree')}),
+far AS ({_SIBLINGS.format('above')}),
+climb(doc, lv, g, i, n, acc, proof) AS (
+    SELECT doc, 0, g, i, n, coalesce(tampered, leaf), '' FROM base UNION ALL {_CLIMB.format('climb', 'near')}
+),
+higher(doc, lv, g, i, n, acc, proof) AS (
+    SELECT doc, 0, '', s.i, s.n, acc, proof FROM climb JOIN subroots s ON climb.g = s.source WHERE climb.n = 1
+    UNION ALL {_CLIMB.format('higher', 'far')}
+)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = r.h AS verified
+FROM base JOIN higher ON base.doc = higher.doc AND higher.n = 1 JOIN subroots s ON base.g = s.source, (SELECT h FROM above WHERE n = 1) r
+"""
+
+OP12 = """
+WITH fit AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+score AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+    FROM fit a JOIN fit b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+),
+positive AS (SELECT * FROM score WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER best)::INT AS rank, x.vec_id AS negative_id,
+       p.s AS positive_score, x.s AS negative_score
+FROM positive p JOIN score x ON p.anchor_id = x.anchor_id AND NOT x.same AND 50 * p.s <= 100 * x.s AND 100 * x.s <= 95 * p.s
+WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY x.s DESC, x.vec_id)
+QUALIFY row_number() OVER best <= 3
+"""
+
+ORACLES = {"op6_line_dedup": OP6, "op8_url_filter": OP8, "op9_sharding": OP9, "op11_merkle_manifest": OP11, "op12_hard_negatives": OP12}

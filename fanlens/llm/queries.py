@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanlens.llm import decontamination, html_extract, learned_index, line_dedup, pieces, quality_lm, sharding, simhash, suffix_dedup, url_filter
+from fanlens.llm import (
+    decontamination, hard_negatives, html_extract, learned_index, line_dedup, manifest, ngram_join, pieces, quality_lm,
+    sharding, simhash, suffix_dedup, url_filter,
+)
 from fanlens.llm.common import text_bytes
 from fanlens.sources.interactions import table
 
@@ -95,10 +98,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    rows = docs.select(
+        "doc_id", "source", manifest.leaf_digest(*fields(F.col("text"))).alias("leaf"),
+        F.when(chosen, manifest.leaf_digest(*fields(without))).alias("tampered"),
+    )
+    out = manifest.prove(manifest.build(rows, "source", "doc_id", "leaf", keep=["doc_id", "tampered"]), ["doc_id", "tampered"])
+    before, after = F.col("before"), F.col("after")
+    out = out.withColumn("folded_root", manifest.folded_root(F.coalesce("tampered", "leaf"), before, after))
+    proof = manifest.proof_digest(before, after).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_learned_index, op3_sentencepiece, op4_quality, op5_simhash,
         op6_line_dedup, op7_suffix_dedup, op8_url_filter, op9_sharding, op10_decontamination,
+        op11_merkle_manifest, op12_hard_negatives, op13_ngram_jaccard,
     )
 }
