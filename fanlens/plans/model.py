@@ -30,11 +30,16 @@ class AudienceModel:
         dim: DataFrame | None = None,
         persist: bool = True,
         durable: bool = False,
+        roll_ups: tuple[DataFrame, DataFrame] | None = None,
     ):
-        """``durable``: write the shared ``pair_days`` as a reliable checkpoint into the
+        """``roll_ups``: stored ``pair_days`` and ``pair_months`` of the log, which are then read
+        instead of it (``fanlens.operators.maintained``).
+
+        ``durable``: write the shared ``pair_days`` as a reliable checkpoint into the
         shared ``spark.checkpoint.dir`` (cuts the lineage to the raw log, so a lost
         executor never re-scans the log); recommended on clusters."""
         self._durable = durable
+        self._roll_ups = roll_ups
         self._persist = persist or durable
         self._held: list[DataFrame] = []
         self.ia = ia  # never held: the shared relation is pair_days
@@ -64,6 +69,8 @@ class AudienceModel:
 
     @cached_property
     def pair_days(self) -> DataFrame:
+        if self._roll_ups:
+            return self._keep(base.by_uid(self._roll_ups[0].drop("month")))
         if self._durable:
             from fanlens.session import ensure_checkpoint_dir
 
@@ -76,6 +83,8 @@ class AudienceModel:
 
     @cached_property
     def pair_months(self) -> DataFrame:
+        if self._roll_ups:
+            return self._keep(base.by_uid(self._roll_ups[1]))
         return self._keep(base.pair_months(self.pair_days))
 
     @cached_property
@@ -85,7 +94,8 @@ class AudienceModel:
     @cached_property
     def ref_ts_value(self) -> str | None:
         """Latest event time, fetched once as a scalar so filters on it reach the scan."""
-        row = self.pair_days.agg(F.max("last_ts").cast("string").alias("m")).first()
+        latest = self._roll_ups[1] if self._roll_ups else self.pair_days
+        row = latest.agg(F.max("last_ts").cast("string").alias("m")).first()
         return row["m"] if row else None
 
     @property

@@ -53,6 +53,6 @@ def register_raw(name: str, oracle_sql: str | None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from fanlens.plans import queries_batch, queries_select, queries_extra  # noqa: F401
+    from fanlens.plans import queries_batch, queries_select, queries_extra, queries_store  # noqa: F401
 
     return REGISTRY
