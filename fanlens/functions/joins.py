@@ -22,3 +22,14 @@ def join_per_entity(rows: DataFrame, per_entity: DataFrame, spread: str = "uid")
     salted = per_entity.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return rows.join(salted, ["entity", "salt"]).drop("salt")
+
+
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """``names``, each with underscores behind it until no column of ``df`` begins so."""
+    taken = [c.lower() for c in df.columns]
+    out = []
+    for name in names:
+        while any(c.startswith(name.lower()) for c in taken):
+            name += "_"
+        out.append(name)
+    return out

@@ -21,6 +21,40 @@ def month_start(col) -> Column:
     return F.trunc(F.to_date(_c(col)), "month").cast("timestamp_ntz")
 
 
+GRAINS = ("day", "week", "month", "quarter", "year")
+
+
+def period_start(col, grain: str = "month") -> Column:
+    """First instant of the period of ``grain`` (weeks begin on Monday), as ``timestamp_ntz``."""
+    if grain not in GRAINS:
+        raise ValueError(f"grain {grain!r} is none of {GRAINS}")
+    day = F.to_date(_c(col))
+    return (day if grain == "day" else F.trunc(day, grain)).cast("timestamp_ntz")
+
+
+def period_index(col, grain: str = "month") -> Column:
+    """Number of the period (bigint): neighbours differ by one."""
+    c = _c(col)
+    if grain in ("day", "week"):
+        days = F.datediff(F.to_date(period_start(c, grain)), F.lit("1970-01-05").cast("date"))  # a Monday
+        return (days if grain == "day" else F.floor(days / 7)).cast("bigint")
+    year = F.year(c)
+    number = {"year": year, "quarter": year * 4 + F.quarter(c), "month": year * 12 + F.month(c)}[grain]
+    return number.cast("bigint")
+
+
+def add_periods(col, periods: int, grain: str = "month") -> Column:
+    """The instant so many periods later."""
+    if grain in ("day", "week"):
+        return add_days(col, periods * (7 if grain == "week" else 1))
+    return add_months(col, periods * {"month": 1, "quarter": 3, "year": 12}[grain])
+
+
+def period_diff(start, end, grain: str = "month") -> Column:
+    """Whole periods from ``start`` to ``end`` (bigint, may be negative)."""
+    return period_index(end, grain) - period_index(start, grain)
+
+
 def day_start(col) -> Column:
     """Midnight of the calendar day, as ``timestamp_ntz``."""
     return F.to_date(_c(col)).cast("timestamp_ntz")

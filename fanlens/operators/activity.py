@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanlens.functions.math import ratio
-from fanlens.params import FIXED, FLOWING, ROAMING
+from fanlens.params import FIXED, FLOWING, ROAMING, Params
 
 
 def monthly_active(pm: DataFrame) -> DataFrame:
@@ -67,20 +67,20 @@ def active_layers_totals(eal: DataFrame) -> DataFrame:
     )
 
 
-def _types(pd_: DataFrame):
+def _types(sentinel: int):
     e = F.col("entity")
     return [
-        F.sum(F.when(e == ROAMING, F.col("n")).otherwise(0)).alias("weak"),
-        F.sum(F.when(e != ROAMING, F.col("n")).otherwise(0)).alias("strong"),
+        F.sum(F.when(e == sentinel, F.col("n")).otherwise(0)).alias("weak"),
+        F.sum(F.when(e != sentinel, F.col("n")).otherwise(0)).alias("strong"),
         F.sum("n").alias("total"),
     ]
 
 
-def daily_type(pd_: DataFrame) -> DataFrame:
+def daily_type(pd_: DataFrame, p: Params = Params()) -> DataFrame:
     """Per day, events on the sentinel (weak) vs real entities (strong)."""
-    return pd_.groupBy("day").agg(*_types(pd_))
+    return pd_.groupBy("day").agg(*_types(p.sentinel))
 
 
-def entity_daily_type(pd_: DataFrame) -> DataFrame:
+def entity_daily_type(pd_: DataFrame, p: Params = Params()) -> DataFrame:
     """Per (day, entity) for real entities (weak is always 0 there)."""
-    return pd_.filter(F.col("entity") > 0).groupBy("day", "entity").agg(*_types(pd_))
+    return pd_.filter(F.col("entity") > 0).groupBy("day", "entity").agg(*_types(p.sentinel))

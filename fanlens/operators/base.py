@@ -24,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanlens.functions.time import day_start, month_start
+from fanlens.functions.time import day_start, period_start
 
 
-def with_month(ia: DataFrame) -> DataFrame:
-    """The log with its calendar month."""
-    return ia.select("uid", "entity", "ts", month_start("ts").alias("month"))
+def with_month(ia: DataFrame, grain: str = "month") -> DataFrame:
+    """The log with its period (the calendar month, unless ``grain`` says otherwise)."""
+    return ia.select("uid", "entity", "ts", period_start("ts", grain).alias("month"))
 
 
 def pair_days(ia: DataFrame, by_user: bool = True) -> DataFrame:
@@ -48,8 +48,8 @@ def by_uid(df: DataFrame) -> DataFrame:
     return df.repartition("uid")
 
 
-def pair_months(pd_: DataFrame) -> DataFrame:
-    return pd_.groupBy("uid", "entity", month_start("day").alias("month")).agg(
+def pair_months(pd_: DataFrame, grain: str = "month") -> DataFrame:
+    return pd_.groupBy("uid", "entity", period_start("day", grain).alias("month")).agg(
         F.sum("n").alias("n"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),

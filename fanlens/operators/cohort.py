@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanlens.functions.math import ratio
-from fanlens.functions.time import add_months, month_diff
-from fanlens.params import FIXED, FUNNEL_STAGES
+from fanlens.functions.time import add_periods, period_diff
+from fanlens.params import FIXED, FUNNEL_STAGES, Params
 
 
-def cohort_retention(ft: DataFrame, labels: DataFrame, pm: DataFrame, min_age: int | None = None) -> DataFrame:
+def cohort_retention(ft: DataFrame, labels: DataFrame, pm: DataFrame, min_age: int | None = None, p: Params = Params()) -> DataFrame:
     """Distinct users of each FIXED first-touch cohort active per month offset.
 
     ``labels`` is D06 or D08 (only the FIXED rows are used).  A user enters a
@@ -26,7 +26,7 @@ def cohort_retention(ft: DataFrame, labels: DataFrame, pm: DataFrame, min_age: i
     fixed = labels.filter(F.col("label") == FIXED).select("uid", "entity")
     cohort = ft.join(fixed, ["uid", "entity"]).select(F.col("month").alias("cohort_month"), "uid").distinct()
     activity = pm.select("month", "uid").distinct()
-    joined = cohort.join(activity, "uid").select("cohort_month", month_diff("cohort_month", "month").alias("month_age"))
+    joined = cohort.join(activity, "uid").select("cohort_month", period_diff("cohort_month", "month", p.grain).alias("month_age"))
     if min_age is not None:
         joined = joined.filter(F.col("month_age") >= min_age)
     return joined.groupBy("cohort_month", "month_age").agg(F.count(F.lit(1)).alias("retained"))
@@ -45,7 +45,7 @@ def _stage(df: DataFrame, base: DataFrame, idx: int) -> DataFrame:
     )
 
 
-def cohort_layer_funnel(ft: DataFrame, labels: DataFrame) -> DataFrame:
+def cohort_layer_funnel(ft: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """D36 (literal): new / month1_fixed / month2_fixed per (entity, cohort_month)."""
     new = ft.select("entity", F.col("month").alias("cohort_month"), "uid")
     fixed_users = labels.filter(F.col("label") == FIXED).select("uid").distinct()
@@ -56,14 +56,14 @@ def cohort_layer_funnel(ft: DataFrame, labels: DataFrame) -> DataFrame:
     )
     for k in (1, 2):
         later = new.select(
-            "uid", "entity", add_months("cohort_month", -k).alias("cohort_month")
+            "uid", "entity", add_periods("cohort_month", -k, p.grain).alias("cohort_month")
         )  # a first touch k months after the cohort month, same pair
         stage = new.join(fixed_users, "uid", "left_semi").join(later, ["uid", "entity", "cohort_month"], "left_semi")
         out = out.unionByName(_stage(stage, base, k))
     return out
 
 
-def cohort_layer_funnel_v2(ft: DataFrame, labels: DataFrame, pm: DataFrame) -> DataFrame:
+def cohort_layer_funnel_v2(ft: DataFrame, labels: DataFrame, pm: DataFrame, p: Params = Params()) -> DataFrame:
     """D36 intent: the pair is FIXED and still active on that entity k months later."""
     new = ft.select("entity", F.col("month").alias("cohort_month"), "uid")
     fixed_pairs = labels.filter(F.col("label") == FIXED).select("uid", "entity")
@@ -73,7 +73,7 @@ def cohort_layer_funnel_v2(ft: DataFrame, labels: DataFrame, pm: DataFrame) -> D
         "users", F.lit(1.0).alias("pct"),
     )
     for k in (1, 2):
-        later = pm.select("uid", "entity", add_months("month", -k).alias("cohort_month"))
+        later = pm.select("uid", "entity", add_periods("month", -k, p.grain).alias("cohort_month"))
         stage = new.join(fixed_pairs, ["uid", "entity"], "left_semi").join(
             later, ["uid", "entity", "cohort_month"], "left_semi"
         )

@@ -27,31 +27,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanlens.functions.time import add_months
-from fanlens.params import ROAMING
+from fanlens.functions.time import add_periods, period_index
+from fanlens.params import Params
 
 
-def _month_index(c):
-    return F.year(c) * 12 + F.month(c)
-
-
-def _timeline(ft: DataFrame, pm: DataFrame, forward: bool) -> DataFrame:
+def _timeline(ft: DataFrame, pm: DataFrame, forward: bool, grain: str) -> DataFrame:
     """Marks (one per first touch) with the leading entity key before M (forward)
-    or from M + 1 month on (backward)."""
+    or from the period after M on (backward)."""
     order = F.col("month") if forward else F.col("month").desc()
     running = F.sum("n").over(
         Window.partitionBy("uid", "entity").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     cells = pm.select(
         "uid",
-        _month_index(F.col("month")).alias("mi"),
+        period_index("month", grain).alias("mi"),
         F.struct(running.cast("bigint").alias("c"), (-F.col("entity")).alias("ne")).alias("key"),
         F.lit(None).cast("bigint").alias("x"),
         F.lit(None).cast("timestamp_ntz").alias("month"),
     )
     marks = ft.select(
         "uid",
-        _month_index(F.col("month")).alias("mi"),
+        period_index("month", grain).alias("mi"),
         F.lit(None).cast("struct<c:bigint,ne:bigint>").alias("key"),
         F.col("entity").alias("x"),
         "month",
@@ -66,24 +62,24 @@ def _timeline(ft: DataFrame, pm: DataFrame, forward: bool) -> DataFrame:
     )
 
 
-def flow_source(ft: DataFrame, pm: DataFrame) -> DataFrame:
+def flow_source(ft: DataFrame, pm: DataFrame, p: Params = Params()) -> DataFrame:
     """(uid, target, month, source)."""
-    return _timeline(ft, pm, forward=True).select(
+    return _timeline(ft, pm, True, p.grain).select(
         "uid",
         F.col("x").alias("target"),
         "month",
-        F.coalesce("leader", F.lit(ROAMING).cast("bigint")).alias("source"),
+        F.coalesce("leader", F.lit(p.sentinel).cast("bigint")).alias("source"),
     )
 
 
-def flow_target(ft: DataFrame, pm: DataFrame) -> DataFrame:
+def flow_target(ft: DataFrame, pm: DataFrame, p: Params = Params()) -> DataFrame:
     """(uid, source, month, target)."""
-    marks = _timeline(ft, pm, forward=False)
+    marks = _timeline(ft, pm, False, p.grain)
     need = marks.filter(F.col("leader") == F.col("x")).select("uid", F.col("month").alias("at"), "x")
     cells = pm.select("uid", "entity", "month", "n")
     runner = (
         need.join(cells, "uid")
-        .filter((F.col("month") >= add_months("at", 1)) & (F.col("entity") != F.col("x")))
+        .filter((F.col("month") >= add_periods("at", 1, p.grain)) & (F.col("entity") != F.col("x")))
         .groupBy("uid", "at", "x", "entity")
         .agg(F.sum("n").alias("cnt"))
         .withColumn("rk", F.row_number().over(Window.partitionBy("uid", "at", "x").orderBy(F.col("cnt").desc(), F.col("entity"))))
@@ -99,7 +95,7 @@ def flow_target(ft: DataFrame, pm: DataFrame) -> DataFrame:
         "uid",
         F.col("x").alias("source"),
         "month",
-        F.coalesce(pick, F.lit(ROAMING).cast("bigint")).alias("target"),
+        F.coalesce(pick, F.lit(p.sentinel).cast("bigint")).alias("target"),
     )
 
 

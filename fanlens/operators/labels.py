@@ -51,10 +51,10 @@ def user_global_label(labels: DataFrame) -> DataFrame:
     return labels.groupBy("uid").agg(F.when(lo == FLOWING, F.lit(ROAMING)).otherwise(lo).alias("global_label"))
 
 
-def pair_label_augmented(labels: DataFrame, glob: DataFrame) -> DataFrame:
-    """Pair labels plus one (uid, -3, -3) row per roaming user."""
+def pair_label_augmented(labels: DataFrame, glob: DataFrame, p: Params = Params()) -> DataFrame:
+    """Pair labels plus one (uid, sentinel, -3) row per roaming user."""
     extra = glob.filter(F.col("global_label") == ROAMING).select(
-        "uid", F.lit(ROAMING).cast("bigint").alias("entity"), F.lit(ROAMING).alias("label")
+        "uid", F.lit(p.sentinel).cast("bigint").alias("entity"), F.lit(ROAMING).alias("label")
     )
     return labels.unionByName(extra)
 

@@ -1,7 +1,7 @@
 """User clustering on the uid x entity incidence matrix.
 
 The matrix is kept as its cells, one row a (uid, entity); only K-means gets
-vectors, sparse ones.  The number of users is the caller's choice
+vectors, sparse ones that the JVM builds from each user's entities.  The number of users is the caller's choice
 (``selection.top_active_users``); nothing here has a limit of its own, and no
 n x n matrix, dense row or single-task index is built.
 """
@@ -14,10 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fanlens.functions.joins import join_per_entity
+from fanlens.functions.ranks import numbered
 from fanlens.params import CLUSTER_K_RANGE, Params, check_range
 from fanlens.session import ensure_checkpoint_dir
 
@@ -30,17 +32,25 @@ def incidence_cells(ev: DataFrame) -> DataFrame:
 
 
 def entity_index(cells: DataFrame) -> DataFrame:
-    """Dense 0-based column of every entity present, in id order: ranks from the sorted partitions' sizes."""
-    ranked = cells.select("entity").distinct().orderBy("entity").rdd.zipWithIndex()
-    return ranked.map(lambda x: (x[0][0], x[1])).toDF("entity long, idx long").select("entity", F.col("idx").cast("int").alias("idx"))
+    """Dense 0-based column of every entity present, in id order."""
+    return numbered(cells.select("entity").distinct(), "entity", "idx").select("entity", F.col("idx").cast("int").alias("idx"))
 
 
-def incidence_vectors(cells: DataFrame, index: DataFrame) -> tuple[DataFrame, int]:
-    """(uid, features) sparse binary rows and the number of columns."""
-    n = index.count()
-    to_row = F.udf(lambda ids: SparseVector(n, sorted(ids), [1.0] * len(ids)), VectorUDT())
-    rows = cells.join(index, "entity").groupBy("uid").agg(F.collect_list("idx").alias("ids"))
-    return rows.select("uid", to_row("ids").alias("features")), n
+def incidence_matrix(cells: DataFrame) -> DataFrame:
+    """(uid, entity, idx), a row for each one of the matrix."""
+    return join_per_entity(cells, entity_index(cells)).select("uid", "entity", "idx")
+
+
+def incidence_vectors(cells: DataFrame) -> DataFrame:
+    """(uid, features): sparse binary rows, columns in id order.
+
+    The vectoriser's vocabulary is the list of entities, as long as a K-means centre."""
+    vocabulary = [str(r["entity"]) for r in cells.select("entity").where("entity IS NOT NULL").distinct().orderBy("entity").collect()]
+    rows = cells.groupBy("uid").agg(F.collect_set(F.col("entity").cast("string")).alias("entities"))
+    if len(vocabulary) < 2 or rows.limit(2).count() < 2:
+        raise ValueError("clustering needs at least a 2 x 2 incidence matrix")
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="entities", outputCol="features", binary=True)
+    return model.transform(rows).select("uid", "features")
 
 
 def kmeans_segments(vec: DataFrame, k: int = 4, seed: int = 42, max_iter: int = Params.cluster_max_iter) -> DataFrame:
@@ -51,18 +61,25 @@ def kmeans_segments(vec: DataFrame, k: int = 4, seed: int = 42, max_iter: int =
 
 
 def _gram(rows: DataFrame, of: np.ndarray) -> np.ndarray:
-    """Sums of products of the columns of (``s`` of all rows) x ``of``: one matrix a partition reaches the driver."""
+    """Sums of products of the columns of (``s`` of all rows) x ``of``.
+
+    Each partition's matrix is cut into its numbers, which Spark adds up: the driver
+    gets one number a pair of columns, however many partitions there are."""
+    d = of.shape[1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((of.shape[1], of.shape[1]))
+        total = np.zeros((d, d))
         for pdf in frames:
             if len(pdf):
                 x = np.stack(pdf["s"].to_numpy()) @ of
                 total += x.T @ x
         yield pd.DataFrame({"g": [total.ravel()]})
 
-    parts = rows.select("s").mapInPandas(run, "g array<double>").toLocalIterator()
-    return sum((np.array(r.g) for r in parts), np.zeros(of.shape[1] ** 2)).reshape(of.shape[1], of.shape[1])
+    parts = rows.select("s").mapInPandas(run, "g array<double>")
+    sums = parts.select(F.posexplode("g").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(d * d)
+    out[sums["at"].to_numpy()] = sums["x"].to_numpy()
+    return out.reshape(d, d)
 
 
 def _mixed(rows: DataFrame, of: np.ndarray) -> DataFrame:
@@ -117,9 +134,9 @@ def pca_2d(cells: DataFrame, iterations: int | None = None, tol: float = 1e-9) -
         b = to_w.shape[1]
         if not b:
             break  # converged, or the vectors span all entities
-        fresh = _mixed(rows, np.hstack((to, to_w)))
+        fresh = _mixed(rows, np.hstack((to, to_w))).checkpoint()
         w = fresh.select("entity", *[F.element_at("s", k - b).alias(f"w{k}") for k in range(b)])
-        by_user = cells.join(w, "entity").groupBy("uid").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(b)])
+        by_user = join_per_entity(cells, w).groupBy("uid").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(b)])
         product = cells.join(by_user, "uid").groupBy("entity").agg(F.array(*[F.sum(f"w{k}") for k in range(b)]).alias("p"))
         rows = fresh.join(product, "entity").select("entity", F.concat("s", "p").alias("s")).checkpoint()
         # ``s`` is now n, the old vectors and products, the new vectors and their products without the mean
@@ -147,7 +164,7 @@ def pca_2d(cells: DataFrame, iterations: int | None = None, tol: float = 1e-9) -
     mean = _gram(rows, np.hstack((to[:, :1], two)))[0, 1:] / users
     load = _mixed(rows, two).select("entity", F.col("s")[0].alias("a"), F.col("s")[1].alias("b")).checkpoint()
     sign = load.agg(*[F.signum(F.max_by(k, F.struct(F.abs(F.col(k)), -F.col("entity")))) for k in ("a", "b")]).first()
-    raw = cells.join(load, "entity").groupBy("uid").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    raw = join_per_entity(cells, load).groupBy("uid").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return raw.select("uid", *[((F.col(k) - float(x)) * (s or 1.0)).alias(name) for k, x, s, name in zip(("a", "b"), mean, sign, ("x", "y"))])
 
 

@@ -62,7 +62,13 @@ FUNNEL_STAGES = ("new", "month1_fixed", "month2_fixed")
 
 @dataclass(frozen=True)
 class Params:
-    """Window lengths and thresholds; defaults equal the reference behaviour."""
+    """Grain, sentinel, window lengths and thresholds; defaults equal the reference behaviour.
+
+    ``grain``: the period that ``month`` columns hold the start of, in labels, flows, cohorts,
+    layers and funnels.  ``sentinel``: the pseudo-entity of events and flows without a home."""
+
+    grain: str = "month"
+    sentinel: int = ROAMING
 
     activation_days: int = 7
     retention_from_days: int = 27

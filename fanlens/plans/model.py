@@ -65,7 +65,7 @@ class AudienceModel:
     # -- shared pre-aggregations ----------------------------------------------
     @cached_property
     def events(self) -> DataFrame:
-        return base.with_month(self.ia)
+        return base.with_month(self.ia, self.p.grain)
 
     @cached_property
     def pair_days(self) -> DataFrame:
@@ -83,9 +83,9 @@ class AudienceModel:
 
     @cached_property
     def pair_months(self) -> DataFrame:
-        if self._roll_ups:
+        if self._roll_ups and self.p.grain == "month":
             return self._keep(base.by_uid(self._roll_ups[1]))
-        return self._keep(base.pair_months(self.pair_days))
+        return self._keep(base.pair_months(self.pair_days, self.p.grain))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -125,7 +125,7 @@ class AudienceModel:
 
     @cached_property
     def pair_label_augmented(self) -> DataFrame:
-        return labels.pair_label_augmented(self.pair_label, self.user_global_label)
+        return labels.pair_label_augmented(self.pair_label, self.user_global_label, self.p)
 
     @cached_property
     def user_modal_label(self) -> DataFrame:
@@ -134,11 +134,11 @@ class AudienceModel:
     # -- flows -----------------------------------------------------------------
     @cached_property
     def flow_source(self) -> DataFrame:
-        return self._keep(flows.flow_source(self.first_touch, self.pair_months))
+        return self._keep(flows.flow_source(self.first_touch, self.pair_months, self.p))
 
     @cached_property
     def flow_target(self) -> DataFrame:
-        return self._keep(flows.flow_target(self.first_touch, self.pair_months))
+        return self._keep(flows.flow_target(self.first_touch, self.pair_months, self.p))
 
     @cached_property
     def flow_matrix_in(self) -> DataFrame:
@@ -159,7 +159,7 @@ class AudienceModel:
 
     @cached_property
     def referral(self) -> DataFrame:
-        return funnel.referral(self.flow_source)
+        return funnel.referral(self.flow_source, self.p)
 
     @cached_property
     def aarrr_metrics(self) -> DataFrame:
@@ -206,11 +206,11 @@ class AudienceModel:
 
     @cached_property
     def daily_type(self) -> DataFrame:
-        return activity.daily_type(self.pair_days)
+        return activity.daily_type(self.pair_days, self.p)
 
     @cached_property
     def entity_daily_type(self) -> DataFrame:
-        return activity.entity_daily_type(self.pair_days)
+        return activity.entity_daily_type(self.pair_days, self.p)
 
     @cached_property
     def active_layers_totals(self) -> DataFrame:
@@ -219,20 +219,20 @@ class AudienceModel:
     # -- churn -----------------------------------------------------------------
     @cached_property
     def flow_net_churn(self) -> DataFrame:
-        return churn.flow_net_churn(self.flow_matrix_in, self.flow_matrix_out, self.active_layers)
+        return churn.flow_net_churn(self.flow_matrix_in, self.flow_matrix_out, self.active_layers, self.p)
 
     @cached_property
     def entity_flow_net_churn(self) -> DataFrame:
-        return churn.entity_flow_net_churn(self.flow_matrix_in, self.flow_matrix_out, self.entity_active_layers)
+        return churn.entity_flow_net_churn(self.flow_matrix_in, self.flow_matrix_out, self.entity_active_layers, self.p)
 
     # -- cohorts ---------------------------------------------------------------
     @cached_property
     def cohort_retention(self) -> DataFrame:
-        return cohort.cohort_retention(self.first_touch, self.pair_label, self.pair_months)
+        return cohort.cohort_retention(self.first_touch, self.pair_label, self.pair_months, p=self.p)
 
     @cached_property
     def cohort_layer_funnel(self) -> DataFrame:
-        return cohort.cohort_layer_funnel(self.first_touch, self.pair_label)
+        return cohort.cohort_layer_funnel(self.first_touch, self.pair_label, self.p)
 
     # -- growth ----------------------------------------------------------------
     @cached_property

@@ -25,21 +25,16 @@ from fanlens.streaming.daily import read_daily_type, run_daily_type
 
 
 # --- A10-A15 ----------------------------------------------------------------------
-def _grown(m):
-    """The fitted series: users met so far, by entity and month."""
-    return growth.cumulative_acquisitions(m.acquisition)
-
-
 def _fit(m):
-    cache = m.__dict__.setdefault("_fit_cache", {})
-    if "fit" not in cache:
-        cache["fit"] = m._keep(curvefit.r_squared(_grown(m), curvefit.logistic_fit(_grown(m), m.p)))
-    return cache["fit"]
+    """D33's monthly users, fitted."""
+    if "_fit_cache" not in m.__dict__:
+        m.__dict__["_fit_cache"] = m._keep(curvefit.r_squared(m.growth_sequence, curvefit.logistic_fit(m.growth_sequence, m.p)))
+    return m.__dict__["_fit_cache"]
 
 
 @register("a10_logistic_fit", None)
 def a10(m):
-    return curvefit.logistic_fit(_grown(m), m.p)
+    return curvefit.logistic_fit(m.growth_sequence, m.p)
 
 
 @register("a11_r_squared", None)
@@ -49,17 +44,23 @@ def a11(m):
 
 @register("a12_logistic_curve", None)
 def a12(m):
-    return curvefit.logistic_curve(_grown(m), _fit(m), m.p.curve_points)
+    return curvefit.logistic_curve(m.growth_sequence, _fit(m), m.p.curve_points)
 
 
 @register("a13_fit_quality", None)
 def a13(m):
-    return curvefit.fit_quality(_grown(m), _fit(m))
+    return curvefit.fit_quality(m.growth_sequence, _fit(m))
 
 
 @register("a14_headroom", None)
 def a14(m):
-    return curvefit.headroom(_grown(m), _fit(m))
+    return curvefit.headroom(m.growth_sequence, _fit(m))
+
+
+@register("a10_logistic_fit_cumulative", None)
+def a10_cumulative(m):
+    """The fit of users met so far by month: a series that only grows."""
+    return curvefit.logistic_fit(growth.cumulative_acquisitions(m.acquisition), m.p)
 
 
 @register("d35_lifecycle_stage_v2", None)
@@ -112,8 +113,8 @@ def a12_init(m):
 @register(
     "a13_fit_quality_init",
     """SELECT entity, n, R2, reason = 'ok' AS ok, reason FROM (
-  SELECT entity, n, R2, if(n < 8, 'too_few_points', if(R2 < 0.65, 'poor_fit', if(K < 1.05 * y_max, 'no_headroom',
-         if(y_max = y_min, 'flat', if(2 * y_last < y_max, 'below_half_peak', 'ok'))))) AS reason
+  SELECT entity, n, R2, if(n < 8, 'too_few_points', if(R2 < 0.65, 'poor_fit', if(K / y_max < 1.05, 'no_headroom',
+         if(y_max = y_min, 'flat', if(CAST(y_last AS DOUBLE) / y_max < 0.5, 'below_half_peak', 'ok'))))) AS reason
   FROM rated JOIN facts USING (entity)) checked""",
 )
 def a13_init(m):
@@ -145,10 +146,7 @@ def _cells(m):
 
 def _segments(m):
     if "_seg_cache" not in m.__dict__:
-        vec, n_cols = segments.incidence_vectors(_cells(m), segments.entity_index(_cells(m)))
-        vec = m._keep(vec)
-        if n_cols < 2 or vec.limit(2).count() < 2:
-            raise ValueError("clustering needs at least a 2 x 2 incidence matrix")
+        vec = m._keep(segments.incidence_vectors(_cells(m)))
         m.__dict__["_seg_cache"] = m._keep(segments.kmeans_segments(vec, m.p.cluster_k, m.p.cluster_seed, m.p.cluster_max_iter))
     return m.__dict__["_seg_cache"]
 
@@ -162,7 +160,7 @@ oracle._cte("ones", "SELECT uid, entity FROM pm WHERE entity <> -3 GROUP BY ALL"
   SELECT entity, CAST(row_number() OVER (ORDER BY entity) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT entity FROM ones) e) i USING (entity)""",
 )
 def a47(m):
-    return _cells(m).join(segments.entity_index(_cells(m)), "entity").select("uid", "entity", "idx")
+    return segments.incidence_matrix(_cells(m))
 
 
 @register("a48_kmeans_segments", None)

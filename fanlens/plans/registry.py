@@ -11,6 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fanlens.params import Params
 from fanlens.plans import oracle
 from fanlens.plans.model import AudienceModel, model_for
 
@@ -27,14 +28,14 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, final_sql: str | None, fixture: str = "f1"):
+def register(name: str, final_sql: str | None, fixture: str = "f1", params: Params = Params()):
     """Decorator for ``fn(model) -> DataFrame``; ``final_sql`` is the oracle's last SELECT."""
 
     def deco(fn: Callable[[AudienceModel], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(model_for(spark, sf_dir, fixture))
+            return fn(model_for(spark, sf_dir, fixture, params))
 
-        q = oracle.sql(final_sql, fixture) if final_sql is not None else None
+        q = oracle.sql(final_sql, fixture, params.grain, params.sentinel) if final_sql is not None else None
         REGISTRY[name] = Query(name, build, q, on_model=fn, final_sql=final_sql)
         return fn
 
@@ -53,6 +54,6 @@ def register_raw(name: str, oracle_sql: str | None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from fanlens.plans import queries_batch, queries_select, queries_extra, queries_store  # noqa: F401
+    from fanlens.plans import queries_batch, queries_select, queries_extra, queries_params, queries_store  # noqa: F401
 
     return REGISTRY
