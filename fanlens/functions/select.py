@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 
 Selection = DataFrame | Sequence[int] | None
 
+#: ids of a selection that are looked up once and become an ``IN`` list
+SMALL_SELECTION = 1_000
+
+
+def resolved(sel: DataFrame, most: int = SMALL_SELECTION) -> Selection:
+    """A selection of up to ``most`` ids as a list, a larger one as the frame it is.
+
+    One bounded look-up; readings that use a selection several times then filter
+    instead of joining each time."""
+    rows = sel.select("entity").where("entity IS NOT NULL").distinct().limit(most + 1).collect()
+    return sorted(r["entity"] for r in rows) if len(rows) <= most else sel
+
 
 def _ids(sel: DataFrame, col: str) -> DataFrame:
     return sel.select(F.col("entity").alias(col)).distinct()

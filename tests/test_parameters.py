@@ -192,3 +192,14 @@ def test_registered_queries_with_other_grains(spark):
     reg = load_all()
     got = {r.month for r in reg["d03_first_touch_week"].build(spark, SF_SMALL).collect()}
     assert all(x.weekday() == 0 for x in got)
+
+
+def test_small_selections_become_lists(spark):
+    from fanlens.functions.select import keep_selected, resolved
+
+    df = spark.createDataFrame([(k, k % 3) for k in range(10)], "entity long, x int")
+    assert resolved(df.where("x = 1")) == [1, 4, 7]
+    assert resolved(df.where("x > 5")) == []
+    assert keep_selected(df, "entity", resolved(df.where("x > 5"))).count() == 0
+    large = resolved(df, most=4)
+    assert large is df and keep_selected(df, "entity", large).count() == 10
