@@ -24,23 +24,27 @@ def local_components(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | N
     return label
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, few: int = 0) -> DataFrame:
     """links: u, v (long).  Returns node, root: the smallest node reachable, for each node with a link.
 
     Every round is one pass of joins and minima with partial aggregation, written
-    to the shared folder; a hot centre's links are never gathered in one group."""
+    to the shared folder; a hot centre's links are never gathered in one group.
+    Up to ``few`` links (counted first) are worked on by one task without a shuffle."""
+    small = few > 0 and links.count() <= few
+    one = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    links = one(links)
     edges = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before = None
     while True:
         # large star: neighbours above a node go to the smallest of its neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = one(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours go to the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(least, "u")
         edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = durable(edges.distinct())
+        edges = one(durable(one(edges).distinct()))
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == before:
             break

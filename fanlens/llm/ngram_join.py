@@ -7,18 +7,25 @@ part of a set within a fragment is a segment.
 Candidates: two sets that link differ in at most ``budget`` n-grams, a number that
 their sizes give.  If the order is cut into more fragments than that, some segment
 of the two is equal.  Sets of similar size share a cut (sizes are in geometric
-buckets; a set takes part in its own bucket's cut and in the one below), and meet
-in the buckets of equal segments.  A bucket's pairs are compared there by a parity
+buckets; a set takes part in its own bucket's cut, and in the one below if it may link
+with a set there), and meet in the buckets of equal segments.  A bucket's pairs are compared there by a parity
 sketch, whose differing bits never exceed the n-grams in which the sets differ; a
-pair that differs in more than its budget is dropped, others are written once.
+pair that differs in more than its budget is no candidate.
 
-Counting: candidates are laid in blocks of neighbours.  For each pair of blocks and
-each fragment of the order a task counts the partial overlaps of the candidates,
-and these are summed up by pair: the sum is the exact size of the intersection.
+Counting: for each set with its candidates and each fragment of the order a task
+counts the partial overlaps, and these are summed up by pair: the sum is the exact
+size of the intersection.
+
+A group of near copies has a square of candidates, which are never written.  In a
+round every set offers the first of its candidates that lie in other components and
+were not counted yet (one in the first round, ``OFFERS`` later); these are counted,
+and those that link unite components.  It ends when nobody has anything to offer:
+then every candidate lies in one component or was counted and does not link, so no
+link between different texts is lost, while a round writes a few rows for each set.
 
 Equal sets are one class, so copies cost one row a task.  A bucket of equal segments
-above ``CELL_ROWS`` is dealt in pairs of parts.  Links are between classes, and
-components are joined by star contraction.
+above ``CELL_ROWS`` is dealt in pairs of parts.  Components are joined by star
+contraction.
 
 Defined cases: words are separated by ASCII white space, A-Z are lower-cased; a text
 with fewer words than a shingle is one shingle.  A null, empty or blank text has an
@@ -36,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanlens.llm.common import durable, join_small, ranked, stored
+from fanlens.llm.common import durable, join_small, stored
 from fanlens.llm.components import connected
 
 WIDTH, PERCENT = 3, 90
@@ -45,8 +52,11 @@ SKETCH_BITS = 1024
 CELL_ROWS = 2_000  # sets of one segment that a task compares with each other
 CHUNK_ROWS = 20_000  # sets of segments that are compared together
 CHUNK_PAIRS = 200_000
-BLOCK_SETS = 128  # sets of a block of candidates
+OFFERS = 16  # candidates of a set that a round counts
+GROUP_SETS = 128  # sets that are counted against one other in a task
 FRAGMENTS, SEGMENT = 8, 4_096  # fragments in counting: so many, or more if a set has over SEGMENT n-grams in one
+SPAN = 3  # a bucket's largest size is about (100 / percent) ** SPAN times its smallest
+FEW_LINKS = 500_000  # links that one task joins into components
 WORDS_HELD = 100_000  # word hashes that a task remembers
 
 
@@ -84,19 +94,33 @@ def budget(size: int | np.ndarray, percent: int = PERCENT):
     return size - 2 * (-(-percent * size // (100 + percent)))
 
 
+def partner(size: int, percent: int = PERCENT) -> int:
+    """Size of the largest set that may link with one of ``size``."""
+    return 100 * size // percent
+
+
 def buckets(most: int, percent: int = PERCENT) -> list[int]:
     """First sizes of the buckets up to size ``most``: linked sets are in one bucket or in neighbours."""
     firsts = [1, 2]
     while firsts[-1] <= most:
-        firsts.append(max(firsts[-1] + 1, 100 * (firsts[-1] - 1) // percent + 1))
+        last = firsts[-1]
+        for _ in range(SPAN):
+            last = max(last, partner(last, percent))
+        firsts.append(last + 1)
     return firsts
 
 
-def cut_of(firsts: list[int], bucket: int, percent: int = PERCENT) -> int:
-    """Fragments of a bucket's cut; 0 if no two different sets that meet there can link."""
-    small = firsts[bucket + 1] - 1
-    most = (small + 100 * small // percent) * (100 - percent) // (100 + percent)
-    return most + 1 + SPARE if most else 0
+def cuts_of(firsts: list[int], size: int, percent: int = PERCENT) -> tuple[tuple[int, int], tuple[int, int]]:
+    """(bucket, fragments) of the cuts in which a set takes part: its own, and the one below.
+
+    No fragments: no different set that it would meet there can link with it."""
+    bucket = int(np.searchsorted(firsts, size, side="right")) - 1
+    out = []
+    for b, meets in ((bucket, True), (bucket - 1, bucket > 0 and size <= partner(firsts[bucket] - 1, percent))):
+        small = firsts[b + 1] - 1
+        most = (small + partner(small, percent)) * (100 - percent) // (100 + percent)
+        out.append((b, most + 1 + SPARE if meets and most else 0))
+    return out[0], out[1]
 
 
 def segment_keys(hashes: np.ndarray, bucket: int, fragments: int) -> np.ndarray:
@@ -145,10 +169,7 @@ def _profiled(id_type, width: int, percent: int):
                     met.add(cls)
                     if n >= firsts[-2]:
                         firsts = buckets(2 * n, percent)
-                    bucket = int(np.searchsorted(firsts, n, side="right")) - 1
-                    own = segment_keys(hashes, bucket, cut_of(firsts, bucket, percent))
-                    if bucket:
-                        below = segment_keys(hashes, bucket - 1, cut_of(firsts, bucket - 1, percent))
+                    own, below = (segment_keys(hashes, *cut) for cut in cuts_of(firsts, n, percent))
                 for name, value in (("cls", cls), ("n", n), ("own", own), ("below", below), ("sketch", sketch(hashes) if len(own) + len(below) else None)):
                     out[name].append(value)
             longs = pa.list_(pa.int64())
@@ -183,23 +204,30 @@ def _pairs_of(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = ends
 
 
-def _compared(percent: int):
-    """Rows sorted by cell: pairs that may link."""
+def _offered(percent: int, offers: int):
+    """Rows sorted by cell: for each set its first candidates in other components (x offers y)."""
 
-    def cells(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "p", "q", "cls"], kind="stable", ignore_index=True)
         bits = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        cls, n, part, below, one = (pdf[c].to_numpy() for c in ("cls", "n", "part", "below", "p"))
+        cls, n, part, below, one, root = (pdf[c].to_numpy() for c in ("cls", "n", "part", "below", "p", "root"))
         apart = one != pdf["q"].to_numpy()
+        counted = {(u, v) for u, seen in zip(pdf["cls"], pdf["counted"], strict=True) if seen is not None for v in seen}
+        found = []
         for i, j in _pairs_of(pdf):
-            fit = (cls[i] != cls[j]) & ~(below[i] & below[j]) & (~apart[i] | (part[i] != part[j]))
+            fit = (root[i] != root[j]) & ~(below[i] & below[j]) & (~apart[i] | (part[i] != part[j]))
             most = budget(n[i] + n[j], percent)
             fit &= np.abs(n[i] - n[j]) <= most
             i, j, most = i[fit], j[fit], most[fit]
             near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= most
             i, j = i[near], j[near]
-            u, v = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-            yield pd.DataFrame({"u": u, "v": v, "size": n[i] + n[j]}).drop_duplicates()
+            if counted and len(i):
+                new = np.array([(u, v) not in counted for u, v in zip(np.maximum(cls[i], cls[j]).tolist(), np.minimum(cls[i], cls[j]).tolist(), strict=True)])
+                i, j = i[new], j[new]
+            if len(i):
+                both = pd.DataFrame({"x": np.concatenate((cls[i], cls[j])), "y": np.concatenate((cls[j], cls[i])), "size": np.tile(n[i] + n[j], 2)})
+                found.append(_first(both, offers))
+        return _first(pd.concat(found), offers) if found else pd.DataFrame({"x": [], "y": [], "size": []}, dtype=np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -212,27 +240,50 @@ def _compared(percent: int):
                 last = (pdf[["key", "p", "q"]] != pdf[["key", "p", "q"]].iloc[-1]).any(axis=1).to_numpy()
                 whole = int(last.sum())  # the last cell may go on
                 if whole:
-                    yield from cells(pdf.iloc[:whole])
+                    yield cells(pdf.iloc[:whole])
                 held, rows = [pdf.iloc[whole:]], len(pdf) - whole
         if rows:
-            yield from cells(pd.concat(held, ignore_index=True))
+            yield cells(pd.concat(held, ignore_index=True))
 
     return run
 
 
-def candidates(found: DataFrame, percent: int = PERCENT, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """found: ``profiles``.  u, v (classes, u < v), size (of both sets): all that link, and few others."""
+def _first(offers: pd.DataFrame, most: int) -> pd.DataFrame:
+    return offers.drop_duplicates().sort_values(["x", "y"], kind="stable").groupby("x").head(most)
+
+
+def shared_keys(found: DataFrame) -> DataFrame:
+    """found: ``profiles``.  cls, key, below, rows: the segments that more than one row has."""
     keys = found.select("cls", F.explode("own").alias("key"), F.lit(False).alias("below")).unionByName(
         found.select("cls", F.explode("below").alias("key"), F.lit(True).alias("below"))
     )
-    keys = keys.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1").dropDuplicates(["key", "cls"])
-    sets = found.where(F.col("sketch").isNotNull()).select("cls", "n", "sketch").dropDuplicates(["cls"])
-    rows = durable(keys).join(sets, "cls")
+    return keys.withColumn("rows", F.count("*").over(Window.partitionBy("key"))).where("rows > 1").dropDuplicates(["key", "cls"])
+
+
+def open_keys(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """cls, key, below, rows, root: the segments whose sets lie in more than one component (roots: cls, root)."""
+    rows = join_small(keys.select("cls", "key", "below", "rows"), roots, ["cls"], "left", F.lit(16))
+    rows = rows.withColumn("root", F.coalesce("root", "cls"))
+    of = Window.partitionBy("key")
+    return rows.withColumn("low", F.min("root").over(of)).withColumn("high", F.max("root").over(of)).where("low < high").drop("low", "high")
+
+
+def candidates(keys: DataFrame, sets: DataFrame, counted: DataFrame | None, offers: int, percent: int = PERCENT, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """u, v (classes, v < u), size (of both sets): the round's candidates, at most ``offers`` for each set.
+
+    keys: cls, key, below, rows, root; sets: cls, n, sketch; counted: u, v that do not link."""
+    rows = join_small(keys, sets, ["cls"], "inner", F.lit(SKETCH_BITS // 8 + 48))
+    if counted is None:
+        rows = rows.withColumn("counted", F.lit(None).cast("array<long>"))
+    else:
+        rows = join_small(rows, counted.groupBy(F.col("u").alias("cls")).agg(F.collect_list("v").alias("counted")), ["cls"], "left", F.size("counted") * 8 + 16)
     parts = F.ceil(F.col("rows") / cell_rows)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "n", "below", "sketch")
+    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "n", "below", "sketch", "root", "counted")
     dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.mapInPandas(_compared(percent), "u long, v long, size long").distinct()
+    out = dealt.mapInPandas(_offered(percent, offers), "x long, y long, size long")
+    out = out.withColumn("k", F.dense_rank().over(Window.partitionBy("x").orderBy("y"))).where(F.col("k") <= offers)
+    return out.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"), "size").distinct()
 
 
 def _segmented(width: int, fragments: int):
@@ -275,50 +326,80 @@ def segments(docs: DataFrame, found: DataFrame, classes: DataFrame, id_col: str,
 def _overlaps(table):
     import pyarrow as pa
 
-    sets = {c: np.frombuffer(s, np.uint64) for c, s in zip(table["cls"].to_pylist(), table["segment"].to_pylist(), strict=True)}
-    out: dict[str, list] = {"u": [], "v": [], "part": []}
-    for u, partners in zip(table["cls"].to_pylist(), table["partners"].to_pylist(), strict=True):
-        mine = sets[u]
-        for v in partners:
-            other = sets.get(v)
-            if other is None:
-                continue
-            small, large = (mine, other) if len(mine) < len(other) else (other, mine)
-            at = np.searchsorted(large, small)
-            same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            if same:
-                out["u"].append(u)
-                out["v"].append(v)
-                out["part"].append(same)
-    return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-
-def overlaps(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text: str, width: int = WIDTH, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """u, v, both: the size of the intersection of each of ``pairs``' sets, summed up over the fragments."""
-    near = ranked(connected(pairs.select("u", "v")).withColumn("all", F.lit(0)), ["all"], ["root", "node"], "place", "nodes")
-    near = durable(near.select("node", F.expr(f"place div {block_sets}").alias("block")))
-    cells = join_small(pairs.select("u", "v"), near.select(F.col("node").alias("u"), F.col("block").alias("a")), ["u"], "inner", F.lit(16))
-    cells = join_small(cells, near.select(F.col("node").alias("v"), F.col("block").alias("b")), ["v"], "inner", F.lit(16))
-    # a cell's pairs are at most BLOCK_SETS for each set of its first block
-    left = cells.groupBy(F.col("u").alias("cls"), "a", "b").agg(F.collect_list("v").alias("partners"))
-    right = cells.select(F.col("v").alias("cls"), "a", "b", F.array().cast("array<long>").alias("partners")).distinct()
-    needs = left.unionByName(right).groupBy("cls", "a", "b").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    parts = segments(docs, found, near.select(F.col("node").alias("cls")), id_col, text, width)
-    rows = parts.join(needs, "cls").groupBy("a", "b", "fragment").applyInArrow(_overlaps, "u long, v long, part long")
+    v = table["v"][0].as_py()
+    sets = dict(zip(table["cls"].to_pylist(), table["segment"].to_pylist(), strict=True))
+    base = np.frombuffer(sets.pop(v, b""), np.uint64)
+    us, parts = [], []
+    for u, segment in sets.items():
+        mine = np.frombuffer(segment, np.uint64)
+        small, large = (mine, base) if len(mine) < len(base) else (base, mine)
+        same = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        if same:
+            us.append(u)
+            parts.append(same)
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array([v] * len(us), pa.int64()), "part": pa.array(parts, pa.int64())})
+
+
+def overlaps(pairs: DataFrame, parts: DataFrame, group_sets: int = GROUP_SETS) -> DataFrame:
+    """u, v, both: the size of the intersection of each of ``pairs``' sets, summed up over the fragments.
+
+    parts: ``segments``.  A set that many pairs share is dealt over groups of them."""
+    many = pairs.groupBy("v").agg(F.ceil(F.count("*") / group_sets).alias("groups"))
+    dealt = join_small(pairs, many, ["v"], "inner", F.lit(16)).select("u", "v", F.pmod(F.xxhash64("u"), F.col("groups")).alias("group"))
+    needs = dealt.select(F.col("u").alias("cls"), "v", "group").unionByName(dealt.select(F.col("v").alias("cls"), "v", "group").distinct())
+    rows = join_small(parts, needs.select("cls").distinct(), ["cls"], "left_semi", F.lit(8)).join(needs, "cls")
+    rows = rows.groupBy("v", "group", "fragment").applyInArrow(_overlaps, "u long, v long, part long")
     return rows.groupBy("u", "v").agg(F.sum("part").alias("both"))
 
 
-def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, cell_rows: int = CELL_ROWS, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """u, v (classes): every two different sets whose similarity is at least ``percent`` per cent."""
-    pairs = durable(candidates(found, percent, cell_rows))
-    both = overlaps(pairs, docs, found, id_col, text, width, block_sets)
-    return pairs.join(both, ["u", "v"]).where(F.col("both") * 100 >= (F.col("size") - F.col("both")) * percent).select("u", "v")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, cell_rows: int = CELL_ROWS, block_sets: int = BLOCK_SETS) -> DataFrame:
+def components(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, cell_rows: int = CELL_ROWS, group_sets: int = GROUP_SETS) -> DataFrame:
+    """cls, root (the smallest class reachable) of the classes that link with another."""
+    keys = stored(shared_keys(found), "shared-segments")
+    sets = found.where(F.col("sketch").isNotNull()).select("cls", "n", "sketch")
+    sets = durable(join_small(sets, keys.select("cls").distinct(), ["cls"], "left_semi", F.lit(8)).dropDuplicates(["cls"]))
+    keys = keys.withColumn("root", F.col("cls"))
+    roots = counted = parts = None
+    while True:
+        pairs = durable(candidates(keys, sets, counted, 1 if parts is None else OFFERS, percent, cell_rows))
+        if pairs.isEmpty():
+            break
+        if parts is None:  # whoever has a candidate at all is in the first round's pairs
+            classes = durable(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct())
+            parts = stored(segments(docs, found, classes, id_col, text, width), "shingle-segments")
+        judged = pairs.join(overlaps(pairs, parts, group_sets), ["u", "v"], "left")
+        both = F.coalesce("both", F.lit(0))
+        judged = durable(judged.select("u", "v", (both * 100 >= (F.col("size") - both) * percent).alias("link")))
+        more, less = judged.where("link").select("u", "v"), judged.where("NOT link").select("u", "v")
+        counted = less if counted is None else counted.unionByName(less)
+        if more.isEmpty():
+            continue
+        # components of components: later rounds join what the first ones left apart
+        named = more if roots is None else _by_root(more, roots)
+        step = connected(named, FEW_LINKS).select(F.col("node").alias("cls"), "root")
+        roots = durable(step if roots is None else _joined(roots, durable(step)))
+        keys = stored(open_keys(keys, roots), "open-segments")
+    return found.sparkSession.createDataFrame([], "cls long, root long") if roots is None else roots
+
+
+def _by_root(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with each class's root in its place."""
+    for c in ("u", "v"):
+        pairs = join_small(pairs, roots.select(F.col("cls").alias(c), F.col("root").alias(f"{c}_root")), [c], "left", F.lit(16))
+    return pairs.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+
+
+def _joined(roots: DataFrame, step: DataFrame) -> DataFrame:
+    """Components that ``step`` (roots of roots) has united."""
+    onward = step.select(F.col("cls").alias("root"), F.col("root").alias("further"))
+    moved = join_small(roots, onward, ["root"], "left", F.lit(16)).select("cls", F.coalesce("further", "root").alias("root"))
+    new = join_small(step, roots.select("cls"), ["cls"], "left_anti", F.lit(8)).select("cls", "root")
+    return moved.unionByName(new)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, cell_rows: int = CELL_ROWS, group_sets: int = GROUP_SETS) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles (long), component_id (smallest id reachable by links)."""
     found = stored(profiles(docs, id_col, text, width, percent), "shingle-profiles")
-    near = durable(connected(links(docs, found, id_col, text, width, percent, cell_rows, block_sets)).select(F.col("node").alias("cls"), "root"))
+    near = components(docs, found, id_col, text, width, percent, cell_rows, group_sets)
     classes = found.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
     classes = join_small(classes, near, ["cls"], "left", F.lit(16)).where("rows > 1 or root is not null")
     classes = durable(classes.withColumn("root", F.coalesce("root", "cls")))

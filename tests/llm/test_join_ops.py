@@ -235,8 +235,8 @@ def test_jaccard_components_equal_brute_force_on_documents(spark):
     assert Counter(tuple(r) for r in op13_ngram_jaccard(spark, SF).collect()) == want
 
 
-@pytest.mark.parametrize("cell,block", [(2_000, 128), (8, 4)])
-def test_jaccard_components_equal_brute_force_on_edits(spark, cell, block):
+@pytest.mark.parametrize("cell,group", [(2_000, 128), (8, 4)])
+def test_jaccard_components_equal_brute_force_on_edits(spark, cell, group):
     rng = random.Random(cell)
     texts = []
     for size in (3, 9, 10, 11, 12, 19, 20, 30, 60, 150, 400):  # near and just too far, chains, a common passage
@@ -249,7 +249,7 @@ def test_jaccard_components_equal_brute_force_on_edits(spark, cell, block):
     rng.shuffle(rows)
     want = plain_components([i for i, _ in rows], [t for _, t in rows])
     assert len({c for _, _, c in want}) < 0.8 * len(rows)
-    assert _components(spark, rows, cell_rows=cell, block_sets=block) == want
+    assert _components(spark, rows, cell_rows=cell, group_sets=group) == want
 
 
 def test_jaccard_cases(spark):
@@ -267,13 +267,30 @@ def test_jaccard_cases(spark):
 
 
 def test_budget_and_cuts():
-    for a in range(1, 120):
-        for b in range(a, 140):
+    firsts = ngram_join.buckets(400)
+    for a in range(1, 150):
+        for b in range(a, 175):
             links = [i for i in range(a + 1) if 100 * i >= 90 * (a + b - i)]
-            if links:
-                assert ngram_join.budget(a + b) == a + b - 2 * links[0]
-                firsts = ngram_join.buckets(200)
-                p, q = (int(np.searchsorted(firsts, x, side="right")) - 1 for x in (a, b))
-                assert q - p in (0, 1)
-                if a != b or ngram_join.budget(a + b):
-                    assert ngram_join.cut_of(firsts, p) > ngram_join.budget(a + b)
+            if not links:
+                continue
+            assert ngram_join.budget(a + b) == a + b - 2 * links[0] and b <= ngram_join.partner(a)
+            if ngram_join.budget(a + b):  # some cut is shared and has more fragments than the sets differ
+                shared = set(ngram_join.cuts_of(firsts, a)) & set(ngram_join.cuts_of(firsts, b))
+                assert max(f for _, f in shared) > ngram_join.budget(a + b)
+                own, below = ngram_join.cuts_of(firsts, a), ngram_join.cuts_of(firsts, b)
+                assert own[0] in (below[0], below[1])  # the smaller set is there by its own bucket
+    # keys of the two cuts of one set differ
+    x = np.sort(np.random.default_rng(0).integers(0, 2**63, 300).astype(np.uint64))
+    (p, f), (q, g) = ngram_join.cuts_of(firsts, 300)
+    assert not set(ngram_join.segment_keys(x, p, f)) & set(ngram_join.segment_keys(x, q, g or 40))
+
+
+def test_components_of_few_links_in_one_task(spark):
+    from fanlens.llm.components import connected
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    want = sorted(tuple(r) for r in connected(df).collect())
+    assert sorted(tuple(r) for r in connected(df, few=1000).collect()) == want
+    assert connected(df.limit(0), few=10).count() == 0
