@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``.
+
+Defined cases, for every stage: an empty table gives an empty one; other columns than
+those of ``documents`` are left out.  Null and empty texts, null ids, languages and
+sources, and repeated rows are rows like others: quality keeps them unless their
+language's model rejects the text, lines leaves a null text null, near_copies keeps
+one row of each group of near copies (empty texts are one group), benchmark_free keeps
+a text without a passage, encoded gives begin and end ids for a null or empty text.
 """
 
 from __future__ import annotations
