@@ -11,6 +11,18 @@ from fanlens.session import ensure_checkpoint_dir, shared_path
 BROADCAST_BYTES = 32 << 20
 
 
+#: Arrow data that a Python worker gets at once: texts are long, and a fixed number of rows has no bound
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's bytes of an Arrow batch to ``BATCH_BYTES``."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)

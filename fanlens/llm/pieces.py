@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanlens.llm.common import free_name
+from fanlens.llm.common import bounded_batches, free_name
 
 MARK = "▁"
-TABLE_WORDS, TABLE_CHARS = 500_000, 32_000_000
-BATCH_CHARS = 4_000_000
+TABLE_WORDS, TABLE_CHARS = 50_000, 4_000_000
+BATCH_CHARS = 256_000
 
 
 def crosses_marker(model) -> bool:
@@ -50,28 +50,30 @@ class ChunkTable:
             raise ValueError("the model has pieces that cross whitespace markers")
         self.lone = [self.model.piece_to_id(MARK)]
         self.begin, self.end = (array("I", [i]).tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
-        self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}
+        self.table: dict[str, tuple[bytes, str]] = {}
         self.chars = 0
 
     def _learn(self, words: list[str]) -> None:
         # the library puts a marker before what it encodes: the word's first one
         found = [ids or self.lone for ids in self.model.encode(words, num_threads=1)]
-        self.ids.update(zip(words, [array("I", ids).tobytes() for ids in found], strict=True))
-        self.texts.update(zip(words, [" " + x for x in self.model.decode(found, num_threads=1)], strict=True))
+        texts = self.model.decode(found, num_threads=1)
+        self.table.update((w, (array("I", ids).tobytes(), " " + x)) for w, ids, x in zip(words, found, texts, strict=True))
         self.chars += 2 * sum(map(len, words)) + 4 * sum(map(len, found))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text its ids with begin and end ids (little-endian, 32 bits each) and its decoded text."""
         cut = [chunks(x) if x else [] for x in texts]
         distinct = set().union(*cut)
-        new = distinct.difference(self.ids)
-        if len(self.ids) + len(new) > TABLE_WORDS or self.chars > TABLE_CHARS:
-            self.ids, self.texts, self.chars, new = {}, {}, 0, distinct
+        new = distinct.difference(self.table)
+        if len(self.table) + len(new) > TABLE_WORDS or self.chars > TABLE_CHARS:
+            self.table, self.chars, new = {}, 0, distinct
         if new:
             self._learn(list(new))
-        ids, texts = self.ids.__getitem__, self.texts.__getitem__
-        return [(self.begin + b"".join(map(ids, w)) + self.end, "".join(map(texts, w))[1:]) for w in cut]
+        out = []
+        for words in cut:
+            found = [self.table[w] for w in words]
+            out.append((self.begin + b"".join([x[0] for x in found]) + self.end, "".join([x[1] for x in found])[1:]))
+        return out
 
 
 def chunks(text: str) -> list[str]:
@@ -114,4 +116,4 @@ def encode_texts(docs: DataFrame, model_file: str, text: str = "text", decode: b
                 yield out.assign(decoded=[x[1] for x in done]) if decode else out
                 at += len(texts)
 
-    return docs.select(*kept, F.col(text).alias(source)).mapInPandas(run, T.StructType(fields))
+    return bounded_batches(docs).select(*kept, F.col(text).alias(source)).mapInPandas(run, T.StructType(fields))
