@@ -19,9 +19,8 @@ each document's mean log-probability is summed.  Everything gathered grows with
 the input, nothing is broadcast unmeasured or collected.
 
 A document is rejected if its log-perplexity is above its language's upper
-quantile of trusted text.  Fewer than 1 / (1 - ``QUANTILE``) trusted documents (200)
-do not show that quantile: there the limit is carried on by up to ``SLACK`` times the
-quantile's distance from the median, in proportion to the documents missing.  Quantiles come from counts of log-perplexity in steps of 1/1000.
+quantile of trusted text, at every size; with few trusted documents that is the
+highest of them.  Quantiles come from counts of log-perplexity in steps of 1/1000.
 Texts of fewer than ``SHORT`` tokens are averaged with enough tokens of median
 probability to make up ``SHORT``, as a few tokens say little.
 
@@ -41,13 +40,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanlens.llm.common import durable, join_small, text_bytes
+from fanlens.llm.common import bounded_batches, durable, join_small, stored, text_bytes
 
 ORDER = 4
 START, END = "\x02", "\x03"
 GROUP_BYTES = 64 << 20
-TABLE_ROWS = 2_000_000  # n-grams that a task gathers before it hands them on
-QUANTILE, SLACK, SHORT = 0.995, 1.0, 200
+TABLE_ROWS = 1_000_000  # n-grams that a task gathers before it hands them on
+QUANTILE, SHORT = 0.995, 200
 STEP = 1000  # of log-perplexity
 FEW_LANGUAGES = 10_000
 PART_ROWS = 500_000  # n-grams of a partition
@@ -229,7 +228,7 @@ def _rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, lang: str)
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row for each row of ``docs``: id, k (MD5 of language and text), lang, trusted, tokens, logp (sum, null without a model)."""
-    rows = _rows(docs, labels, id_col, text, lang)
+    rows = _rows(bounded_batches(docs), labels, id_col, text, lang)
     learned = rows.where("trusted").select(F.concat((1 - F.col("half")).cast("string"), "lang").alias("lang"), "text")
     counts = learned.mapInPandas(_counted, "lang string, g long, c long")
     counts = durable(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")))
@@ -242,7 +241,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     dealt = rows.select("id", k.alias("k"), model.alias("lang"), "trusted", "text")
     dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("id", "k"), F.lit(groups)).cast("int"))
     dealt = dealt.mapInPandas(_packed, "id long, k string, lang string, trusted boolean, grp int, blob binary").repartition(groups, "grp")
-    asked = dealt.mapInPandas(_asked, "grp int, lang string, g long").repartition("lang", "g")
+    asked = stored(dealt.mapInPandas(_asked, "grp int, lang string, g long"), "asked-grams")  # read twice
     answers = log_probabilities(asked.select("lang", "g").distinct(), probs, weights)
     answers = asked.join(answers, ["lang", "g"])
     scored = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(
@@ -251,26 +250,23 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return scored.withColumn("lang", F.expr("substr(lang, 2)"))
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """lang, median and limit of log-perplexity, from the trusted rows of ``scored`` (lang, trusted, lp)."""
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, median and limit (that quantile) of log-perplexity, from the trusted rows of ``scored`` (lang, trusted, lp)."""
     steps = scored.where("trusted AND lp IS NOT NULL").groupBy("lang", F.floor(F.col("lp") * STEP).alias("b")).agg(F.count("*").alias("n"))
     of = Window.partitionBy("lang")  # at most a few ten thousand steps a language
     share = steps.withColumn("upto", F.sum("n").over(of.orderBy("b")) / F.sum("n").over(of))
     at = lambda q: F.min(F.when(F.col("upto") >= q, (F.col("b") + 1) / F.lit(STEP)))
-    missing = F.greatest(F.lit(0.0), 1 - F.col("n") * (1 - quantile))  # share of the documents that would show the quantile
-    return share.groupBy("lang").agg(at(0.5).alias("median"), at(quantile).alias("high"), F.sum("n").alias("n")).select(
-        "lang", "median", (F.col("high") + slack * missing * (F.col("high") - F.col("median"))).alias("limit")
-    )
+    return share.groupBy("lang").agg(at(0.5).alias("median"), at(quantile).alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row for each row of ``docs``: id, k, lang, perplexity, threshold, keep."""
     scored = durable(score(docs, labels, id_col, text, lang, group_bytes).withColumn("lp", -F.col("logp") / F.col("tokens")))
-    middle = thresholds(scored, 0.5, 0.0).select("lang", "median")
+    middle = thresholds(scored).select("lang", "median")
     few = F.greatest(F.lit(0), F.lit(SHORT) - F.col("tokens"))
     steady = (F.col("lp") * F.col("tokens") + F.col("median") * few) / (F.col("tokens") + few)
     scored = by_language(scored, middle, "left").withColumn("lp", steady).drop("median")
-    limits = thresholds(scored, quantile, slack).select("lang", "limit")
+    limits = thresholds(scored, quantile).select("lang", "limit")
     judged = by_language(scored, limits, "left")
     return judged.select(
         F.col("id").alias(id_col), "k", F.expr("nullif(substr(lang, 2), '')").alias("lang"),
