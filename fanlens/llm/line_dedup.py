@@ -12,8 +12,8 @@ boilerplate lines; that table is measured, then broadcast or joined by shuffle.
 
 Defined cases: a null text stays null and counts as a page without lines; a null
 host is a host of its own; a text of which all lines go becomes empty and the
-row stays.  Lines of hosts with fewer than ``min_pages`` pages holding them
-stay.  Repeated rows count as pages of their own.  Other columns pass through.
+row stays.  A line that fewer than ``min_pages`` pages hold is repeated nowhere and
+stays.  Repeated rows count as pages of their own.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fanlens.llm.common import join_small
 
-RATIO, MIN_PAGES = 0.05, 10
+RATIO, MIN_PAGES = 0.05, 2
 
 
 def _line_keys(text) -> F.Column:
