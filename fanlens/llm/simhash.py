@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanlens.llm.common import durable, free_name, join_small
+from fanlens.llm.common import bounded_batches, durable, free_name, join_small
 from fanlens.llm.components import connected, local_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             fps = np.array([fingerprint(x, shingle) for x in pdf[source]], np.int64)
             yield pdf[kept].assign(fp=fps)
 
-    return docs.select(*kept, F.col(text).alias(source)).mapInPandas(run, schema)
+    return bounded_batches(docs).select(*kept, F.col(text).alias(source)).mapInPandas(run, schema)
 
 
 def blocks_of(budget: int) -> list[tuple[int, int]]:
@@ -196,12 +196,16 @@ def near_links(fps: DataFrame, budget: int = MAX_BITS, cell_rows: int = CELL_ROW
     return dealt.mapInPandas(_walked(budget), "u long, v long")
 
 
+def _roots(fps: DataFrame, budget: int) -> DataFrame:
+    """fps: distinct fp.  fp, root (a fingerprint of its component) of those that link with another."""
+    return durable(connected(near_links(fps, budget)).select(F.col("node").alias("fp"), "root"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
     """One row for each row of ``docs``: id, fp (long), component_id (smallest id reachable)."""
     ids = durable(fingerprints(docs.select(id_col, text), text, shingle))
     classes = ids.groupBy("fp").agg(F.min(id_col).alias("first"))
-    roots = connected(near_links(classes.select("fp"), budget)).select(F.col("node").alias("fp"), "root")
-    roots = durable(roots)
+    roots = _roots(classes.select("fp"), budget)
     smallest = roots.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
     linked = roots.join(smallest, "root").select("fp", F.col("first").alias("reached"))
     named = classes.join(linked, "fp", "left").select("fp", F.coalesce("reached", "first").alias("component_id"))
@@ -209,7 +213,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component; rows without id stay."""
-    found = near_components(docs, id_col, text, shingle, budget)
-    extra = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return join_small(docs, extra, [id_col], "left_anti", F.lit(8))
+    """One row of ``docs`` for each component: the smallest id (null comes last), then the smallest hash of the row."""
+    key, many = free_name(docs, "row_key"), free_name(docs, "row_many")
+    rows = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(*docs.columns)))
+    ids = durable(fingerprints(rows.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(text).alias("text")), "text", shingle))
+    roots = _roots(ids.select("fp").distinct(), budget)
+    ids = join_small(ids, roots, ["fp"], "left", F.lit(16)).withColumn("root", F.coalesce("root", "fp"))
+    place = F.struct(F.col("id").isNull(), "id", "key")
+    groups = ids.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first.key")
+    met = durable(join_small(ids, groups.withColumnRenamed("key", "kept"), ["root"], "inner", F.lit(64)).select("key", "kept"))
+    extra = met.where("key <> kept").select(F.col("key").alias(key)).distinct()
+    twins = met.where("key = kept").groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit(True).alias(many))
+    rows = join_small(rows, extra, [key], "left_anti", F.lit(40))
+    rows = join_small(rows, twins, [key], "left", F.lit(40))
+    equal = rows.where(F.col(many)).dropDuplicates([key])  # wholly equal rows: one of them
+    return rows.where(F.col(many).isNull()).unionByName(equal).select(*docs.columns)

@@ -86,7 +86,11 @@ def test_simhash_nulls_ties_and_empty(spark):
     assert got == [(0, 3), (2, 2), (3, 3), (5, 3), (9, 2), (9, 2)]
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r.fp for r in kept.collect()) == [2, 3, 5]
+    assert sorted(r.fp for r in kept.collect()) == [2, 5]  # of the empty texts id 3 stays, not the one without id
+    same = spark.createDataFrame([(i, "one two three four five", fp) for i, fp in ((1, 7), (1, 7), (None, 7), (None, 7), (1, 8), (4, 1))], "doc_id long, text string, row_key int")
+    assert [r.doc_id for r in simhash.keep_one(same).collect()] == [1]
+    alone = spark.createDataFrame([(None, "a b c d e", 1), (None, "a b c d e", 1), (None, "v w x y z", 1)], "doc_id long, text string, fp int")
+    assert sorted(r.text for r in simhash.keep_one(alone).collect()) == ["a b c d e", "v w x y z"]
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
