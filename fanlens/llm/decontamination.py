@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanlens.llm.common import free_name
+from fanlens.llm.common import bounded_batches, free_name, stored
 
 RATE = 0.05
 BLOCK_CHARS = 2_000_000
@@ -162,7 +162,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, into: str = "matches") -> DataFrame:
     """``docs`` with ``into``: array of (item_id, start, end, distance), empty where a text is clean."""
     kept = [c for c in docs.columns if c != into]
-    out = docs.select(*kept, F.array().cast(MATCHES).alias(into))
+    out = bounded_batches(docs).select(*kept, F.array().cast(MATCHES).alias(into))
     schema = out.schema
 
     def scan(items):
@@ -176,7 +176,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
         return run
 
-    for items in _blocks(benchmark, item_id, item_text):
+    for k, items in enumerate(_blocks(benchmark, item_id, item_text)):
+        if k:  # written before the next block is read: driver and tasks hold one at a time
+            out = stored(out, "matches")
         out = out.mapInPandas(scan(items), schema)
     return out
 
