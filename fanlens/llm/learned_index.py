@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from fanlens.llm.common import durable
 
 SAMPLE_ROWS = 8_192
-PART_ROWS = 2_000  # vectors a part should have; at most SAMPLE_ROWS / 64 parts
+PART_ROWS = 125  # vectors a part should have; at most SAMPLE_ROWS / 64 parts
 NEIGHBOURS, HIDDEN, EPOCHS, SEED = 12, 128, 15, 5
-MASS = 0.93  # probability of the parts that a query visits, taken together
+MASS = 0.96  # probability of the parts that a query visits, taken together
 BLOCK_ROWS, QUERY_ROWS = 8_192, 2_048
 NEAR = 1e-9  # by which blocked and row-wise products may differ
 
@@ -215,11 +215,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
         if not blocks:
             continue
         visits = durable(visits)
-        chunks = max(1, -(-visits.count() // parts // QUERY_ROWS))
-        many = F.element_at(F.create_map(*[F.lit(z) for p, b in blocks.items() for z in (p, b)]), F.col("part"))
+        # a part's queries are dealt by their own number, however many visit it
+        chunks = {r[0]: -(-r[1] // QUERY_ROWS) for r in visits.groupBy("part").agg(F.count("*")).collect()}
+        of_part = lambda sizes: F.element_at(F.create_map(*[F.lit(z) for p, b in sizes.items() for z in (p, b)]), F.col("part"))
+        if not chunks:
+            continue
+        many, dealt = of_part(blocks), of_part(chunks)
         spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        left = visits.where(many.isNotNull()).select("id", "v", "part", spread(many).alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"))
-        right = rows.select("id", "v", "part", F.pmod(F.xxhash64("id"), many).alias("block"), spread(F.lit(chunks)).alias("chunk"))
+        left = visits.where(many.isNotNull()).select("id", "v", "part", spread(many).alias("block"), F.pmod(F.xxhash64("id"), dealt).alias("chunk"))
+        right = rows.where(dealt.isNotNull()).select("id", "v", "part", F.pmod(F.xxhash64("id"), many).alias("block"), spread(dealt).alias("chunk"))
         by = ["part", "block", "chunk"]
         left, right = left.withColumn("block", F.col("block").cast("long")), right.withColumn("chunk", F.col("chunk").cast("long"))
         got = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(top_of_block(k), found.schema)

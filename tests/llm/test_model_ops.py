@@ -152,11 +152,13 @@ def test_held_out_documents_are_judged_like_trained_ones(spark):
 
 
 def test_index_recall_and_exact_scores(spark):
+    from fanlens.llm.queries import op2_learned_index
+
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     got = defaultdict(list)
-    for r in learned_index.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0"), 20, part_rows=200).collect():
+    for r in op2_learned_index(spark, sf).collect():  # with the registered parameters
         got[r.query_id].append(r)
     hit = total = 0
     for q, v in zip(ids, x):
@@ -170,6 +172,26 @@ def test_index_recall_and_exact_scores(spark):
             assert all(r.score == pytest.approx(s[list(ids).index(r.vec_id)], abs=1e-12) for r in mine)
             hit, total = hit + len(best & {r.vec_id for r in mine}), total + 20
     assert hit >= 0.9 * total
+    parts = 16
+    assert parts <= len(x) / learned_index.PART_ROWS
+    router = learned_index.fit(x, parts)
+    own = np.bincount([p[0] for p in router.parts(x, 0.0)], minlength=parts)
+    share = np.mean([own[p].sum() for p in router.parts(x[ids % 20 == 0], learned_index.MASS)]) / len(x)
+    assert own.max() < 0.2 * len(x) and share < 0.9  # the vectors are mostly noise: see the README
+
+
+def test_one_part_that_all_queries_visit(spark, monkeypatch):
+    monkeypatch.setattr(learned_index, "QUERY_ROWS", 7)
+    monkeypatch.setattr(learned_index, "BLOCK_ROWS", 11)
+    rng = np.random.default_rng(0)
+    rows = [(int(k), (np.array([5.0, 0.0, 0.0]) * (k % 3 == 0) + rng.standard_normal(3)).tolist()) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = learned_index.nearest(df, df.where("vec_id % 4 = 0"), 3, part_rows=25, mass=1.0, sample_rows=200).collect()
+    x = np.array([v for _, v in rows])
+    for q in range(0, 200, 4):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == np.argsort(-s, kind="stable")[:3].tolist()
 
 
 def test_index_ties_nulls_and_few_rows(spark):
