@@ -5,8 +5,9 @@ a list of bitmaps of 32,768 numbers each (``bitmap_construct_agg``), and sets un
 by ``bitmap_or_agg``: over entities, over months, or both.  A count over any range of
 months thus reads stored bitmaps and never shuffles (month, uid) again.
 
-Numbers are dealt by user hash: the users of one range of hashes lie next to each
-other, so building a month sends few bitmaps from each task.
+A set is built where its rows meet: the numbers are shuffled by group and bucket, so
+each bitmap is made once, by one task, from at most 32,768 users.  (Bitmaps begun by
+each task for its own rows would be as many as tasks times sets, 4 KB each.)
 
 ``HyperLogLog`` sketches (``sketches``) take a bounded size for any number of users and
 give estimates; ``lg_k`` sets their size and error (about 1.04 / sqrt(2 ** lg_k)).
@@ -47,7 +48,8 @@ def numbered(users: DataFrame, first: int = 0, hash_ranges: int = HASH_RANGES) -
 def user_sets(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows: ``by`` columns and number.  ``by``, bucket, bits: the set of numbers of each group."""
     bucket, bit = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
-    return rows.groupBy(*by, bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    met = rows.select(*by, bucket.alias("bucket"), bit.alias("bit")).repartition(*by, "bucket")  # few bytes a row, one task a bitmap
+    return met.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
 def united(sets: DataFrame, by: list[str]) -> DataFrame:
