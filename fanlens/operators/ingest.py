@@ -48,11 +48,11 @@ def render_feed(ia: DataFrame) -> DataFrame:
 
 def new_rows(log: DataFrame, batch: DataFrame, dedup: bool = False) -> DataFrame:
     """Rows of ``batch`` whose (uid, ts, entity) is not in ``log`` (null-safe)."""
-    b = (batch.dropDuplicates(KEYS) if dedup else batch).withColumn("month", month_start("ts"))
-    months = [r["month"] for r in b.select("month").distinct().collect()]  # calendar months of one batch
-    keys = [*KEYS, "month"]
-    near = log.select(*keys).filter(F.col("month").isin([m for m in months if m is not None]) | (F.col("month").isNull() if None in months else F.lit(False)))
-    return b.join(near, [b[k].eqNullSafe(near[k]) for k in keys], "left_anti")
+    b = batch.dropDuplicates(KEYS) if dedup else batch
+    months = [r["month"] for r in batch.select(month_start("ts").alias("month")).distinct().collect()]  # calendar months of one batch
+    near = log.filter(F.col("month").isin([m for m in months if m is not None]) | (F.col("month").isNull() if None in months else F.lit(False)))
+    near = near.select(*KEYS)  # the month follows from the time, so neither side shuffles it
+    return b.join(near, [b[k].eqNullSafe(near[k]) for k in KEYS], "left_anti").withColumn("month", month_start("ts"))
 
 
 def incremental_append(spark: SparkSession, log_path: str, batch: DataFrame, dedup: bool = False) -> int:

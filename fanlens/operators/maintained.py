@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanlens.functions.time import month_start
+from fanlens.functions.time import day_start, month_start
 from fanlens.operators import base, bitmaps
 from fanlens.operators.ingest import KEYS, LOG_SCHEMA, new_rows
 from fanlens.params import Params
@@ -46,8 +47,18 @@ def in_months(months: list) -> Column:
     return known | F.col("month").isNull() if None in months else known
 
 
+def day_rows(log: DataFrame) -> DataFrame:
+    """Every event as a row of ``pair_days`` with the month, to be merged."""
+    day = day_start("ts")
+    at_midnight = F.when(F.col("ts") == day, 1).otherwise(0).cast("bigint")
+    return log.select(
+        "uid", "entity", day.alias("day"), F.lit(1).cast("bigint").alias("n"), at_midnight.alias("n0"),
+        F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), month_start(day).alias("month"),
+    )
+
+
 def merge_days(stored: DataFrame, more: DataFrame) -> DataFrame:
-    """Two ``pair_days`` with their month as one."""
+    """Two ``pair_days`` with their month (or ``day_rows``) as one."""
     return stored.unionByName(more).groupBy("uid", "entity", "day", "month").agg(
         F.sum("n").alias("n"), F.sum("n0").alias("n0"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
     )
@@ -96,14 +107,18 @@ class MaintainedLog:
 
         ``dedup``: also drop repeats within the batch.  A batch without new rows changes nothing."""
         self.recover()
-        rows = new_rows(self.log(), conform(batch), dedup).select(*[f.name for f in LOG_SCHEMA])
-        rows.write.mode("overwrite").parquet(self.staged_path)
+        held = conform(batch).persist(StorageLevel.MEMORY_AND_DISK)  # read twice: its months, then its rows
+        try:
+            rows = new_rows(self.log(), held, dedup).select(*[f.name for f in LOG_SCHEMA])
+            rows.write.mode("overwrite").parquet(self.staged_path)
+        finally:
+            held.unpersist()
         staged = self.spark.read.schema(LOG_SCHEMA).parquet(self.staged_path)
         n = staged.count()
         if n:
             months = self._months(staged)
             partitions.write_partitions(staged, self.log_path, "month")
-            self._replace(merge_days(self.pair_days().where(in_months(months)), roll_up(staged)), months)
+            self._replace(merge_days(self.pair_days().where(in_months(months)), day_rows(staged)), months)
         partitions.delete(self.spark, self.staged_path)
         return n
 

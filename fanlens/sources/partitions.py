@@ -47,17 +47,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def write_partitions(df: DataFrame, path: str, by: str, mode: str = "append") -> None:
-    """Few files a partition; one with a third of all rows is split again by the rebalancing."""
-    df.hint("rebalance", by).write.mode(mode).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static").partitionBy(by).parquet(path)
+def write_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Append; few files a partition; one with a third of all rows is split again by the rebalancing."""
+    df.hint("rebalance", by).write.mode("append").option("partitionOverwriteMode", "static").partitionBy(by).parquet(path)
 
 
 def finish(spark: SparkSession, path: str, schema: T.StructType, by: str) -> bool:
     """Swap in what a former replacement staged; drop an incomplete one.  True if there was something to swap."""
     staged = f"{path}.staged"
     whole = complete(spark, staged)
-    if whole:
-        write_partitions(spark.read.schema(schema).parquet(staged), path, by, "overwrite")
+    if whole:  # its files are few a partition already: they are copied without a shuffle
+        spark.read.schema(schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     if exists(spark, staged):
         delete(spark, staged)
     return whole

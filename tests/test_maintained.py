@@ -291,3 +291,45 @@ def test_upsert_that_was_cut_off_is_finished(spark, tmp_path, monkeypatch):
     assert _rows(dim.read()) == _rows(_names(spark, [(1, "a", 0), (2, "b", 0), (None, "nobody", 0)]).drop("at"))
     assert dim.upsert(_names(spark, [(2, "b", 0)]), "at") == 0
     assert _rows(dim.read()) == _rows(_names(spark, [(1, "aa", 0), (2, "b", 0), (None, "somebody", 0)]).drop("at"))
+
+
+# --- what an append and its sets move ------------------------------------------------
+
+
+def test_a_bitmap_is_made_after_its_rows_have_met(spark):
+    rows = spark.range(0, 100_000, 1, 8).select((F.col("id") % 3).alias("g"), (F.col("id") % 70_000).alias("number"))
+    sets = bitmaps.user_sets(rows, ["g"])
+    plan = sets._jdf.queryExecution().sparkPlan().toString() + sets._jdf.queryExecution().executedPlan().toString()
+    last = plan.split("AdaptiveSparkPlan")[-1]
+    assert last.rindex("bitmap_construct_agg") < last.index("Exchange")  # no task sends a bitmap begun on its own rows
+    got = {r.g: r.users for r in bitmaps.counted(sets, ["g"]).collect()}
+    assert got == {r.g: r.n for r in rows.groupBy("g").agg(F.countDistinct("number").alias("n")).collect()}
+
+
+def test_an_append_reads_its_batch_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    log = _log(spark, FIRST + MORE)
+    batch = log.mapInPandas(counted, log.schema)
+    store = MaintainedLog(spark, str(tmp_path))
+    assert store.append(batch) == len(FIRST + MORE)
+    assert seen.value == len(FIRST + MORE)
+
+
+def test_swapping_in_a_replacement_shuffles_nothing(spark, tmp_path):
+    shuffled = []
+    path = str(tmp_path / "t")
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("p"))
+    partitions.replace_partitions(df, path, "p")
+    partitions.write_partitions(df.withColumn("id", F.col("id") + 1000).where("p = 1"), f"{path}.staged", "p")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "hint", lambda self, name, *cols: shuffled.append(name) or self)
+        assert partitions.finish(spark, path, df.schema, "p")
+    assert not shuffled
+    got = spark.read.schema(df.schema).parquet(path)
+    assert {r.p: (r.n, r.lo) for r in got.groupBy("p").agg(F.count("*").alias("n"), F.min("id").alias("lo")).collect()} == {0: (34, 0), 1: (33, 1001), 2: (33, 2)}
