@@ -65,11 +65,28 @@ def windows_from_first_event(pairs: DataFrame, lo: Column, hi: Column) -> DataFr
     return pairs.select("uid", "entity", "first_month", (F.col("first_ts") + lo).alias("lo"), (F.col("first_ts") + hi).alias("hi"))
 
 
+def _seen_once(ia: DataFrame, pairs: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """(uid, entity, first_month, n): pairs that have events in their window, and how many.
+
+    A pair has one window, so bins are as long as it: it touches two, and no event meets
+    it twice.  Pairs are unique, so a window needs no look-up before or after the join."""
+    t0 = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    length = pairs.sparkSession.range(1, numPartitions=1).select(F.timestamp_diff("MICROSECOND", t0 + lo, t0 + hi)).first()[0]
+    micros = max(length, 1)
+    spans = windows_from_first_event(pairs, lo, hi).where("lo <= hi")
+    spans = spans.select("*", F.explode(F.sequence(_bin(F.col("lo"), micros), _bin(F.col("hi"), micros))).alias("bin"))
+    seen = ia.where("ts IS NOT NULL").groupBy(F.col("uid").alias("u"), F.col("entity").alias("e"), "ts").agg(F.count("*").alias("n"))
+    seen = seen.withColumn("at", _bin(F.col("ts"), micros))
+    same = [spans["uid"].eqNullSafe(seen["u"]), spans["entity"].eqNullSafe(seen["e"]), spans["bin"] == seen["at"]]
+    met = spans.join(seen, same).where("ts BETWEEN lo AND hi")
+    return met.groupBy("uid", "entity", "first_month").agg(F.sum("n").alias("n"))
+
+
 def users_back(ia: DataFrame, pairs: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """(entity, month, users): pairs with an event from ``lo`` to ``hi`` after their first one, by first period.
 
     D14 / D15 with windows that open at the first event instead of at the start of its month."""
-    back = exists_in_window(ia, windows_from_first_event(pairs, lo, hi), ["uid", "entity"])
+    back = _seen_once(ia, pairs, lo, hi)
     return back.groupBy("entity", F.col("first_month").alias("month")).agg(F.count("*").alias("users"))
 
 
