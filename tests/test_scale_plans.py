@@ -1,7 +1,9 @@
 """Plans of steps that larger tables made slow or large: what they no longer sort, shuffle or build twice."""
 
 import pytest
-
+from conftest import ts
+from fanlens.operators import cohort
+from fanlens.params import FIXED, FLOWING
 from fanlens.sources.interactions import orders_interactions, orders_interactions_sentinel
 
 
@@ -31,3 +33,35 @@ def test_lines_meet_their_orders_without_being_sorted(spark, tables):
 def test_log_holds_every_line_of_every_order(spark, tables):
     got = sorted((r.uid, r.entity) for r in orders_interactions_sentinel(spark, tables).collect())
     assert got == [(7, -3), (7, 1), (8, -3), (8, -3)]
+
+
+def _by_user(spark, rows, schema):
+    df = spark.createDataFrame(rows, schema).repartition("uid").persist()
+    df.count()
+    return df
+
+
+def test_layer_funnel_shuffles_counts_only(spark):
+    """Literal stages, on first touches of which some come twice; pairs by user are read in one pass."""
+    jan, feb, mar = ts("2024-01-01"), ts("2024-02-01"), ts("2024-03-01")
+    ft = _by_user(
+        spark,
+        [(1, 1, jan), (1, 1, feb), (2, 1, jan), (2, 1, mar), (3, 1, jan), (3, 1, feb), (4, 1, jan), (4, None, jan), (4, None, feb), (None, 1, jan), (None, 1, feb), (5, 1, jan), (5, 1, feb), (5, 1, feb)],
+        "uid long, entity long, month timestamp_ntz",
+    )
+    labels = _by_user(spark, [(1, 9, FIXED), (2, 1, FIXED), (2, 2, FIXED), (3, 1, FLOWING), (4, 1, FIXED), (5, 1, FIXED), (None, 1, FIXED)], "uid long, entity long, label int")
+    was = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")  # Spark's default
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cohort.cohort_layer_funnel(ft, labels)
+        assert _plan(out).count("Exchange hashpartitioning(") - _plan(out).count("Exchange hashpartitioning(uid") == 1
+        got = sorted((r.entity or 0, r.cohort_month, r.stage_ord, r.users, round(r.pct, 6)) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", was)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [
+        (0, jan, 1, 1, 1.0), (0, feb, 1, 1, 1.0),
+        (1, jan, 1, 6, 1.0), (1, jan, 2, 2, round(2 / 6, 6)), (1, jan, 3, 1, round(1 / 6, 6)),
+        (1, feb, 1, 5, 1.0), (1, mar, 1, 1, 1.0),
+    ]
