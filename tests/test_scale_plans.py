@@ -1,8 +1,10 @@
 """Plans of steps that larger tables made slow or large: what they no longer sort, shuffle or build twice."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from conftest import ts
-from fanlens.operators import cohort
+from fanlens.operators import cohort, flows
 from fanlens.params import FIXED, FLOWING
 from fanlens.sources.interactions import orders_interactions, orders_interactions_sentinel
 
@@ -65,3 +67,20 @@ def test_layer_funnel_shuffles_counts_only(spark):
         (1, jan, 1, 6, 1.0), (1, jan, 2, 2, round(2 / 6, 6)), (1, jan, 3, 1, round(1 / 6, 6)),
         (1, feb, 1, 5, 1.0), (1, mar, 1, 1, 1.0),
     ]
+
+
+def test_flow_target_builds_the_timelines_once(spark):
+    jan, feb, mar = ts("2024-01-01"), ts("2024-02-01"), ts("2024-03-01")
+    pm = _by_user(
+        spark,
+        [(1, 1, jan, 1), (1, 1, feb, 5), (1, 2, feb, 2), (1, 3, mar, 2), (2, 1, jan, 1), (3, 1, jan, 1), (3, 1, mar, 4), (4, 4, jan, 1), (4, 5, feb, 3), (4, 6, mar, 3)],
+        "uid long, entity long, month timestamp_ntz, n long",
+    )
+    ft = pm.groupBy("uid", "entity").agg(F.min("month").alias("month"))
+    out = flows.flow_target(ft, pm)
+    assert _plan(out).count("Window [max(key") == 1
+    got = sorted((r.uid, r.source, r.month, r.target) for r in out.collect())
+    assert got == [
+        (1, 1, jan, 2), (1, 2, feb, 3), (1, 3, mar, -3), (2, 1, jan, -3), (3, 1, jan, -3),
+        (4, 4, jan, 5), (4, 5, feb, 6), (4, 6, mar, -3),
+    ]
