@@ -45,10 +45,12 @@ def incidence_vectors(cells: DataFrame) -> DataFrame:
     """(uid, features): sparse binary rows, columns in id order.
 
     The vectoriser's vocabulary is the list of entities, as long as a K-means centre."""
-    vocabulary = [str(r["entity"]) for r in cells.select("entity").where("entity IS NOT NULL").distinct().orderBy("entity").collect()]
-    rows = cells.groupBy("uid").agg(F.collect_set(F.col("entity").cast("string")).alias("entities"))
-    if len(vocabulary) < 2 or rows.limit(2).count() < 2:
+    seen = cells.groupBy("entity").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.count_if(F.col("uid").isNull()).alias("none")).collect()
+    vocabulary = [str(e) for e in sorted(r["entity"] for r in seen if r["entity"] is not None)]
+    users = {u for r in seen for u in (r["lo"], r["hi"]) if u is not None} | {None for r in seen if r["none"]}  # two, if there are two
+    if len(vocabulary) < 2 or len(users) < 2:
         raise ValueError("clustering needs at least a 2 x 2 incidence matrix")
+    rows = cells.groupBy("uid").agg(F.collect_set(F.col("entity").cast("string")).alias("entities"))
     model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="entities", outputCol="features", binary=True)
     return model.transform(rows).select("uid", "features")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import ts
-from fanlens.operators import cohort, flows
+from fanlens.operators import cohort, flows, segments
 from fanlens.params import FIXED, FLOWING
 from fanlens.sources.interactions import orders_interactions, orders_interactions_sentinel
 
@@ -84,3 +84,26 @@ def test_flow_target_builds_the_timelines_once(spark):
         (1, 1, jan, 2), (1, 2, feb, 3), (1, 3, mar, -3), (2, 1, jan, -3), (3, 1, jan, -3),
         (4, 4, jan, 5), (4, 5, feb, 6), (4, 6, mar, -3),
     ]
+
+
+def test_vectors_are_checked_without_grouping_all_users(spark):
+    """Entities and the least number of users come from one reading of the cells, in a job or two."""
+    cells = _by_user(spark, [(1, 30), (1, 4), (2, 4), (None, 4), (3, None)], "uid long, entity long")
+    spark.sparkContext.setJobGroup("vectors", "")
+    try:
+        vec = segments.incidence_vectors(cells)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("vectors")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2
+    assert {r.uid: r.features.toArray().tolist() for r in vec.collect()} == {1: [1, 1], 2: [1, 0], 3: [0, 0], None: [1, 0]}
+
+
+@pytest.mark.parametrize(("rows", "enough"), [([(1, 1), (1, 2)], False), ([(1, 1), (2, 1)], False), ([(1, 1), (2, 2)], True), ([(None, 1), (2, 2)], True), ([(None, 1), (None, 2)], False)])
+def test_vectors_need_two_users_and_entities(spark, rows, enough):
+    cells = spark.createDataFrame(rows, "uid long, entity long")
+    if enough:
+        assert segments.incidence_vectors(cells).count() == 2
+    else:
+        with pytest.raises(ValueError, match="2 x 2"):
+            segments.incidence_vectors(cells)
